@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platter.llm import decontamination, pii, simhash
+from platter.llm import decontamination, pii, secrets, simhash
 from platter.llm.common import span_count, span_text, table
 
 
@@ -29,8 +29,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[span_count(F.col("spans"), k).alias(f"n_{k}") for k in secrets.BASE_KINDS], F.sha2(span_text(F.col("spans"), secrets.BASE_KINDS), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
+    "op10_secrets": op10_secrets,
 }

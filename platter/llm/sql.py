@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from platter.llm.secrets import BASE_KINDS, RULES
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKENS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -20,4 +22,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_decontamination": DECONTAMINATION}
+
+
+def _secrets() -> str:
+    """Matches are placed by the lengths of matches and of the gaps between them."""
+    parts = []
+    for rank, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        least = f"length(regexp_extract(h[i], '{pattern}', 2)) >= {rule.least}" if rule.least else "true"
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, p AS b, p + length(h[i]) AS e FROM (
+  SELECT doc_id, h, i, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS p
+  FROM (SELECT doc_id, h, g, unnest(range(1, len(h) + 1)) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS g FROM d))) WHERE {least}""")
+    base = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    shown = "string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(parts)}),
+t AS (SELECT doc_id, {counts}, {shown} FILTER (kind IN ({base})) AS base, {shown} AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN t USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op7_decontamination": DECONTAMINATION, "op10_secrets": _secrets()}
