@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platter.llm import decontamination, pii, secrets, simhash
+from platter.llm import decontamination, linededup, pii, secrets, simhash
 from platter.llm.common import span_count, span_text, table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier line resembles."""
+    docs = table(spark, sf_dir, "documents")
+    found = linededup.dedup(docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines")), percent=80, min_chars=25)
+    return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     found = table(spark, sf_dir, "documents").select("doc_id", pii.pii_spans("text").alias("found"))
@@ -36,6 +43,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op5_pii": op5_pii,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,

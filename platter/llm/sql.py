@@ -44,4 +44,27 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE_K
 FROM d LEFT JOIN t USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op7_decontamination": DECONTAMINATION, "op10_secrets": _secrets()}
+#: Pairs are looked for among the rarest words of each line, as many as any match must share one of.
+LINE_DEDUP = """
+WITH l AS (SELECT doc_id, i - 1 AS line_no, s[i] AS line, trim(lower(s[i]), ' ') AS low
+           FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
+e AS (SELECT *, row_number() OVER (PARTITION BY low ORDER BY doc_id, line_no) AS nth FROM l WHERE length(low) >= 25),
+f AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS id, doc_id, line_no, list_distinct(list_filter(string_split_regex(low, '[ \t-\r]+'), lambda w: w <> '')) AS ws
+      FROM e WHERE nth = 1),
+t AS (SELECT id, len(ws) AS n, unnest(ws) AS w FROM f),
+q AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+p AS (SELECT id, n, w FROM (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS r FROM t JOIN q USING (w)) WHERE r <= n - (n * 80 + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.w = b.w AND b.id < a.id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80),
+v AS (SELECT DISTINCT c.a FROM c JOIN f x ON x.id = c.a JOIN f y ON y.id = c.b
+      WHERE len(list_intersect(x.ws, y.ws)) * 180 >= (len(x.ws) + len(y.ws)) * 80),
+r AS (SELECT doc_id, line_no FROM e WHERE nth > 1 UNION ALL SELECT doc_id, line_no FROM f JOIN v ON v.a = f.id),
+g AS (SELECT l.doc_id, count(*) AS n_lines, count(r.line_no) AS n_removed,
+             string_agg(r.line_no::VARCHAR, ',' ORDER BY l.line_no) AS removed, string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (r.line_no IS NULL) AS kept
+      FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.line_no = l.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed_lines,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op7_decontamination": DECONTAMINATION, "op10_secrets": _secrets()}
