@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from platter.llm.mixing import ROUNDS, SWEEPS
+from platter.llm.queries import MIX_SHARE, MIX_TARGETS
 from platter.llm.secrets import BASE_KINDS, RULES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,4 +69,57 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op7_decontamination": DECONTAMINATION, "op10_secrets": _secrets()}
+_DAY = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (day) DAY"
+
+URL_FILTER = f"""
+WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL ((page_id * 7919) % 8760) HOUR AS fetched,
+                  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+                  string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1), '/') AS parts FROM pages),
+h AS (SELECT DISTINCT host FROM c WHERE host <> ''),
+n AS (SELECT host AS entry FROM h UNION SELECT regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) FROM h UNION SELECT host || '/en' FROM h UNION SELECT host || '/fr' FROM h),
+e AS (SELECT list, entry, md5(list || ':' || entry) AS digest FROM n, (VALUES ('blocked'), ('exempt')) l(list) WHERE entry <> ''),
+x AS (SELECT list, entry, ('0x' || digest[1])::INT AS pick, ('0x' || digest[2:3])::INT % 180 AS a, ('0x' || digest[4:5])::INT AS b, ('0x' || digest[6:7])::INT AS c FROM e),
+y AS (SELECT * FROM x WHERE pick < 6 OR list = 'blocked' AND pick < 12),
+log AS (SELECT list, entry, action, {_DAY} AS fetched FROM (
+  SELECT list, entry, 'add' AS action, a AS day FROM y UNION ALL SELECT list, entry, 'remove', a + b FROM y UNION ALL SELECT list, entry, 'add', a + b + c FROM y WHERE c < 128)),
+k AS (SELECT page_id, fetched, 10 - i AS rank, host || '/' || array_to_string(parts[1:i], '/') AS key FROM c, range(1, 3) r(i) WHERE host <> '' AND len(parts) >= i AND parts[i] <> ''
+      UNION ALL
+      SELECT page_id, fetched, 10 + i, array_to_string(string_split(host, '.')[i + 1:], '.') FROM c, range(0, 6) r(i) WHERE host <> '' AND len(string_split(host, '.')) - i >= 2),
+s AS (SELECT page_id, rank, list, entry, max((log.fetched, action)) AS last FROM k JOIN log ON log.entry = k.key AND log.fetched <= k.fetched GROUP BY ALL),
+turns AS (SELECT *, lag(action) OVER (PARTITION BY list, entry ORDER BY fetched, action) AS before FROM log),
+active AS (SELECT page_id, rank, s.list, s.entry, (SELECT max(t.fetched) FROM turns t WHERE t.list = s.list AND t.entry = s.entry AND t.action = 'add' AND t.before IS DISTINCT FROM 'add' AND t.fetched <= s.last[1]) AS since
+           FROM s WHERE s.last[2] = 'add'),
+best AS (SELECT page_id, list, entry, since FROM active QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank, list) = 1)
+SELECT c.page_id, c.url, c.fetched AS fetched_at, coalesce(best.list = 'blocked', false) AS blocked, best.list, best.entry, best.since FROM c LEFT JOIN best USING (page_id)
+"""
+
+
+def _mixing() -> str:
+    """Every sweep and round written out, each over the one before."""
+    total = "sum(tokens) OVER ()"
+    cells = f"SELECT *, tokens / {total} AS weight FROM (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)"
+    goal = {x: f"SELECT {x}, raw / sum(raw) OVER () AS goal_{x} FROM (SELECT {x}, CASE WHEN sum(tokens) > 0 THEN sum(tokens) ** {power} ELSE 0 END AS raw FROM cells GROUP BY {x})" for x, power in MIX_TARGETS.items()}
+    raked = "SELECT cells.*, " + ", ".join(f"goal_{x}" for x in MIX_TARGETS) + " FROM cells " + " ".join(f"JOIN g_{x} ON g_{x}.{x} IS NOT DISTINCT FROM cells.{x}" for x in MIX_TARGETS)
+    for _ in range(SWEEPS):
+        for x in MIX_TARGETS:
+            raked = f"SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {x}) > 0 THEN weight * goal_{x} / sum(weight) OVER (PARTITION BY {x}) ELSE 0 END AS weight) FROM ({raked})"
+    solved = f"SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio, {MIX_SHARE} * {total} AS factor FROM raked"
+    for _ in range(ROUNDS):
+        rest = "sum(ratio * tokens) FILTER (ratio * factor < 1) OVER ()"
+        solved = f"SELECT * REPLACE (CASE WHEN {rest} > 0 THEN ({MIX_SHARE} * {total} - coalesce(sum(tokens) FILTER (ratio * factor >= 1) OVER (), 0)) / ({rest}) ELSE factor END AS factor) FROM ({solved})"
+    goals = ", ".join(f"g_{x} AS MATERIALIZED ({g})" for x, g in goal.items())
+    return f"""WITH t AS (SELECT *, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '')) AS n_tokens FROM documents),
+d AS MATERIALIZED (SELECT doc_id, text, source, lang, n_tokens, CASE WHEN contains(text, ' | ') THEN 'table' WHEN n_tokens < 100 THEN 'short' WHEN n_tokens < 1000 THEN 'prose' ELSE 'long' END AS topic FROM t),
+cells AS MATERIALIZED ({cells}), {goals}, raked AS MATERIALIZED ({raked}), p AS MATERIALIZED (SELECT source, lang, topic, least(1.0, ratio * factor) AS p FROM ({solved}))
+SELECT d.doc_id, d.source, d.lang, d.topic, n_tokens::BIGINT AS n_tokens, round(p, 6) AS probability,
+       ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, d.text, '')), 1, 12))::BIGINT / (2.0 ** 48) < p AS kept
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic IS NOT DISTINCT FROM p.topic"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": LINE_DEDUP,
+    "op6_url_filter": URL_FILTER,
+    "op7_decontamination": DECONTAMINATION,
+    "op9_mixing": _mixing(),
+    "op10_secrets": _secrets(),
+}
