@@ -18,19 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, stored in the shared checkpoint folder so that no lost executor makes its lineage run again.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a local session that names none gets a
-    folder of its own; a cluster without one is an error, as a driver-local folder is not seen by executors.
+    Only a local session that names none gets a folder of its own; a cluster without one is an error, as executors do not
+    see a folder that is local to the driver.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="platter-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, stored in the shared checkpoint folder, so that no lost executor makes its lineage run again."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platter.llm.common import SPACES, checkpointed, fresh
+from platter.llm.common import checkpointed, fresh
 
 BUCKETS = 1 << 16
 #: Rows of two or three integers that are broadcast at most; beyond, the same join is done by a shuffle.
@@ -50,7 +50,11 @@ def _by_size(df: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(id_col, text_col).alias("row_key"), F.lower(text_col).alias("low"))
+    """low is the lower-cased text with blanks for the other white space within lines, which is rare."""
+    low = F.lower(text_col)
+    odd = [F.contains(text_col, F.lit(c)) for c in "\t\v\f\r"]
+    low = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(low, "[\\t\\x0B-\\r]", " ")).otherwise(low)
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(id_col, text_col).alias("row_key"), low.alias("low"))
 
 
 def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -60,13 +64,13 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACES), "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def word_classes(rows: DataFrame) -> bytes:
     """For each bucket of word hashes the class of its corpus frequency, from 1 to 127: four steps for each doubling."""
-    words = rows.select(F.explode(_words(F.col("low"))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")).count()
+    words = rows.select(F.explode(F.split(F.translate("low", "\n", " "), " ")).alias("w")).filter("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
     classes = bytearray(b"\x01" * BUCKETS)
     for bucket, c in counts.select("bucket", F.least(F.lit(127), 1 + F.floor(F.log2("count") * 4)).cast("int")).collect():
         classes[bucket] = c
@@ -78,10 +82,10 @@ def _ranks(line: Column, classes: bytes) -> Column:
     table = F.lit(classes)
 
     def rank(h: Column) -> Column:
-        code = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string"))
+        code = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, 1).cast("string"))
         return F.shiftleft(code.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
 
-    return F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), rank)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), rank))
 
 
 def _bit(rank: Column) -> Column:
@@ -91,12 +95,18 @@ def _bit(rank: Column) -> Column:
 
 def postings(lines: DataFrame, classes: bytes, percent: int) -> DataFrame:
     """(word, sid, doc, line_no, size, pos, bits) of the prefixes of the lines, size and pos in one integer."""
-    ranked = lines.select("sid", "doc", "line_no", _ranks(F.col("line"), classes).alias("ranks"))
-    size = F.size("ranks")
-    bits = F.aggregate("ranks", F.lit(0).cast("bigint"), lambda acc, r: acc.bitwiseXOR(_bit(r)))
-    overlap = F.floor((size * percent + 99) / 100).cast("int")  # the least one with any match
-    sized = ranked.select("sid", "doc", "line_no", size.cast("bigint").alias("size"), bits.alias("bits"), F.slice("ranks", 1, size - overlap + 1).alias("prefix"))
-    return sized.select(F.posexplode("prefix").alias("pos", "word"), "sid", "doc", "line_no", "size", "bits").select("word", "sid", "doc", "line_no", F.shiftleft("size", 32).bitwiseOR(F.col("pos").cast("bigint")).alias("place"), "bits")
+    def signature(ranks: Column) -> Column:
+        size = F.size(ranks)
+        overlap = F.floor((size * percent + 99) / 100).cast("int")  # the least one with any match
+        bits = F.aggregate(ranks, F.lit(0).cast("bigint"), lambda acc, r: acc.bitwiseXOR(_bit(r)))
+        return F.struct(size.cast("bigint").alias("size"), bits.alias("bits"), F.slice(ranks, 1, size - overlap + 1).alias("prefix"))
+
+    signed = lines.select("sid", "doc", "line_no", let(_ranks(F.col("line"), classes), signature).alias("x"))
+    found = signed.select("sid", "doc", "line_no", "x.size", "x.bits", F.posexplode("x.prefix").alias("pos", "word"))
+    # Both sides of the join read one shuffle only if no null tests are planned for one of them.
+    known = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    place = F.shiftleft("size", 32).bitwiseOR(F.col("pos").cast("bigint"))
+    return found.select(known(F.col("word")).alias("word"), known(F.col("sid")).alias("sid"), known(F.col("doc")).alias("doc"), known(F.col("line_no").cast("bigint")).alias("line_no"), known(place).alias("place"), known(F.col("bits")).alias("bits"))
 
 
 _PARTS = ("sid", "doc", "line_no", "place", "bits")
@@ -121,7 +131,7 @@ def candidates(posts: DataFrame, percent: int) -> DataFrame:
     by_place = Window.partitionBy("word").orderBy("doc", "line_no", "sid")
     here = F.struct(*_PARTS)
     me = {p: F.col(p) for p in _PARTS}
-    total = F.shiftright("place", 32) + F.lit(0)
+    total = F.shiftright("place", 32)
 
     def very_near(x: Column) -> Column:
         # Half the bits that the threshold allows, and few enough for 64 bits to tell.
@@ -150,14 +160,17 @@ def _ask(asking: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(sid, row_key, line_no) of the later line of each pair that reaches the threshold."""
     named = _by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct())
-    sets = lines.join(named, F.col("sid") == F.col("need"), "left_semi").select("sid", F.struct("doc", "line_no", "row_key").alias("at"), F.array_distinct(_words(F.col("line"))).alias("words"))
-    sets = checkpointed(sets.dropDuplicates(["sid"]))
-    other = sets.select(F.col("sid").alias("other"), F.col("at").alias("other_at"), F.col("words").alias("other_words"))
-    common = F.size(F.array_intersect("words", "other_words"))
-    alike = common * (100 + percent) >= (F.size("words") + F.size("other_words")) * percent
+    found = lines.join(named, F.col("sid") == F.col("need"), "left_semi").select("sid", "line", F.struct("doc", "line_no", "row_key").alias("at"))
+    found = checkpointed(found.groupBy("sid").agg(F.min(F.struct("at", "line")).alias("x")).select("sid", "x.at", "x.line"))
+    other = found.select(F.col("sid").alias("other"), F.col("at").alias("other_at"), F.col("line").alias("other_line"))
+
+    def alike(sets: Column) -> Column:
+        return F.size(F.array_intersect(sets["a"], sets["b"])) * (100 + percent) >= (F.size(sets["a"]) + F.size(sets["b"])) * percent
+
+    sets = F.struct(*[F.array_distinct(_words(F.col(c))).alias(n) for n, c in (("a", "line"), ("b", "other_line"))])
     later = F.when(F.col("at") > F.col("other_at"), F.struct("sid", "at")).otherwise(F.struct(F.col("other").alias("sid"), F.col("other_at").alias("at")))
-    found = pairs.join(sets, "sid").join(other, "other").filter(alike).select(later.alias("x"))
-    return found.select("x.sid", "x.at.row_key", "x.at.line_no").distinct()
+    met = pairs.select("sid", "other").join(found, "sid").join(other, "other").filter(let(sets, alike)).select(later.alias("x"))
+    return met.select("x.sid", "x.at.row_key", "x.at.line_no").distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, min_chars: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

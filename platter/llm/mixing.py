@@ -51,13 +51,16 @@ def _shares(totals: dict[str, float], target: dict[str, float] | float) -> dict[
 
 
 def _rake_local(rows: list, targets: dict, share: float) -> list[tuple]:
+    if not rows:
+        return []
     tokens = np.array([float(r.tokens) for r in rows])
     total = tokens.sum()
     weight = tokens / total if total else tokens
     codes, goals = {}, {}
     for d in DIMENSIONS:
         values = sorted({r[d] for r in rows})
-        codes[d] = np.array([values.index(r[d]) for r in rows]) if len(values) < 50 else np.array([dict(zip(values, range(len(values)), strict=True))[r[d]] for r in rows])
+        number = {v: i for i, v in enumerate(values)}
+        codes[d] = np.array([number[r[d]] for r in rows])
         sums = np.bincount(codes[d], tokens, len(values))
         shares = _shares(dict(zip(values, sums.tolist(), strict=True)), targets[d])
         goals[d] = np.array([shares[v] for v in values])
