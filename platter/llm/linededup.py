@@ -189,8 +189,10 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_chars: int = 25, id_co
     doubtful = checkpointed(pairs.filter("near").select("sid").distinct().join(later, "sid", "left_anti"))
     if not doubtful.isEmpty():
         few = F.broadcast(doubtful) if doubtful.count() <= BROADCAST_ROWS else doubtful
-        asking = posts.join(few, "sid", "left_semi").select("word", *_PARTS, F.lit(None).cast("bigint").alias("partner"))
-        later = later.unionByName(_verified(checkpointed(_ask(asking, posts, percent)), lines, percent)).distinct()
+        asking = checkpointed(posts.join(few, "sid", "left_semi").select("word", *_PARTS, F.lit(None).cast("bigint").alias("partner")))
+        # Only postings of their words need to be dealt again.
+        asked = posts.join(_by_size(asking.select("word").distinct()), "word", "left_semi")
+        later = later.unionByName(_verified(checkpointed(_ask(asking, asked, percent)), lines, percent)).distinct()
     near = later.groupBy("row_key").agg(F.collect_set("line_no").alias("removed"))
     both = repeats.withColumnRenamed("repeats", "removed").unionByName(near)
     return both.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
