@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     went = fresh(docs, "removed_lines")
-    found = linededup.dedup(docs, percent=80, min_chars=25, removed_col=went)
+    found = linededup.dedup(docs, percent=80, min_chars=1, removed_col=went)
     found = found.filter((F.size(went) == 0) | F.rlike("text", F.lit("[^ \\t-\\r]")))
     n_chars = F.when(F.size(went) == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
     return found.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -13,8 +13,11 @@ Jaccard similarity of at least the threshold with it; so the first of any group
    first of its word and the ones before it, and one that has a very near partner there asks no others in that group.
 5. Candidates are verified on the words themselves. Lines whose near partners all fail ask all others after all.
 
+Lines of so few words that only an equal set can reach the threshold (up to three at 80 %) have one posting, the hash of
+the set, so that short lines of common words do not meet all others of a word.
+
 Defined results: lines of fewer than min_chars characters (blanks at the ends not counted) are never removed and remove
-none; null text has no lines and stays null; a text whose lines all go becomes empty; rows with a null id come after all
+none (with 1, as the registered query and the pipeline's stage have it, these are the lines without a word); null text has no lines and stays null; a text whose lines all go becomes empty; rows with a null id come after all
 others, and rows that share an id are ordered by line number first; rows with equal id and text are one row to the join and
 all get its result; other columns are kept untouched.
 """
@@ -99,7 +102,10 @@ def postings(lines: DataFrame, classes: bytes, percent: int) -> DataFrame:
         size = F.size(ranks)
         overlap = F.floor((size * percent + 99) / 100).cast("int")  # the least one with any match
         bits = F.aggregate(ranks, F.lit(0).cast("bigint"), lambda acc, r: acc.bitwiseXOR(_bit(r)))
-        return F.struct(size.cast("bigint").alias("size"), bits.alias("bits"), F.slice(ranks, 1, size - overlap + 1).alias("prefix"))
+        # No set of one word more or less, nor another one of as many, can reach the threshold.
+        alone = ((size + 1) * percent > size * 100) & ((size - 1) * 100 < size * percent) & ((size - 1) * (100 + percent) < size * 2 * percent)
+        prefix = F.when(alone, F.array(F.xxhash64(ranks))).otherwise(F.slice(ranks, 1, size - overlap + 1))
+        return F.struct(size.cast("bigint").alias("size"), bits.alias("bits"), prefix.alias("prefix"))
 
     signed = lines.select("sid", "doc", "line_no", let(_ranks(F.col("line"), classes), signature).alias("x"))
     found = signed.select("sid", "doc", "line_no", "x.size", "x.bits", F.posexplode("x.prefix").alias("pos", "word"))

@@ -23,7 +23,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that an earlier line resembles."""
     docs = table(spark, sf_dir, "documents")
-    found = linededup.dedup(docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines")), percent=80, min_chars=25)
+    found = linededup.dedup(docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines")), percent=80, min_chars=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -86,3 +86,22 @@ def test_empty_table_and_no_python(spark):
     assert got.count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_lines_take_part_in_query_and_stage(spark, tmp_path):
+    """Lines of every length, down to one letter, against brute force; lines without a word stay."""
+    import corpus_pipeline
+    from platter.llm.queries import op2_line_dedup
+
+    r = random.Random(4)
+    words = ["all", "rights", "reserved.", "Menu", "a", "é", "next", "page"]
+    rows = [(i, "\n".join(" ".join(r.choice(words) for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6]))) for _ in range(6))) for i in range(40)]
+    rows += [(50, "All rights reserved.\n \n\n reserved. all  rights"), (51, "Menu\nonly here\n\nMENU ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: cut for (i, _), cut in zip(rows, brute(rows, min_chars=1), strict=True)}
+    assert 3 in want[50] and 3 in want[51]
+    assert {x.doc_id: x.removed_lines for x in op2_line_dedup(spark, str(tmp_path)).collect()} == {i: ",".join(map(str, cut)) for i, cut in want.items()}
+    texts = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: t for i, t in texts.items() if not want[i] or t.strip()}
