@@ -13,7 +13,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platter.llm import decontamination, language, linededup, mixing, simhash
+from platter.llm import decontamination, language, linededup, mixing, resemblance, simhash
 from platter.llm.common import checkpoint_folder, fresh, table
 from platter.llm.queries import MIX_SHARE, MIX_TARGETS
 
@@ -31,7 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs, shingle=3)
+    """Linked are fingerprints of at most three different bits, and texts whose five-word shingles have a Jaccard of 0.8 or more."""
+    return simhash.keep_first(docs, shingle=3, alike=resemblance.links(docs, percent=80, shingle=5))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,13 +218,18 @@ def links(prints: DataFrame) -> DataFrame:
     return edges.unionByName(stars.distinct())
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, alike: DataFrame | None = None) -> DataFrame:
     """One row a document: doc_id, row_key, fp, component_id (least id of its class) and first_key, the row_key of the
-    class's first row by (id, row_key), null ids last."""
-    rows = checkpointed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), fingerprints(shingle)(F.col(text_col)).alias("fp")))
+    class's first row by (id, row_key), null ids last. alike: further links (a, b) between hashes (xxhash64) of texts."""
+    own = [F.xxhash64(text_col).alias("sid")] if alike is not None else []
+    rows = checkpointed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), fingerprints(shingle)(F.col(text_col)).alias("fp"), *own))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     groups = rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n"))
-    linked = checkpointed(connected(links(groups)))  # node, root
+    edges = links(groups)
+    if alike is not None:
+        prints = [rows.select(F.col("sid").alias(x), F.col("fp").alias(f"{x}_fp")).distinct() for x in ("a", "b")]
+        edges = edges.unionByName(alike.join(prints[0], "a").join(prints[1], "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).filter("a <> b"))
+    linked = checkpointed(connected(edges))  # node, root
     heads = linked.join(groups.select(F.col("fp").alias("node"), "first"), "node")
     heads = linked.join(heads.groupBy("root").agg(F.min("first").alias("head")), "root").select(F.col("node").alias("fp"), "head")
     # Fingerprints of one row without links head themselves, so only the others are joined back; a fingerprint with a third
@@ -233,8 +238,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return rows.join(named, "fp", "left").select("doc_id", "row_key", "fp", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce("head.row_key", "row_key").alias("first_key"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """docs with one row of each class, that of the least id; repeated rows count as members of their class."""
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, alike: DataFrame | None = None) -> DataFrame:
+    """docs with one row of each class, that of the least id; repeated rows count as members of their class. alike: see classes."""
     key, kept = fresh(docs, "row_key"), fresh(docs, "kept_key")
-    firsts = classes(docs, id_col, text_col, shingle).select(F.col("first_key").alias(kept)).distinct()
+    firsts = classes(docs, id_col, text_col, shingle, alike).select(F.col("first_key").alias(kept)).distinct()
     return docs.withColumn(key, F.xxhash64(id_col, text_col)).join(firsts, F.col(key) == F.col(kept), "left_semi").dropDuplicates([key]).drop(key)
