@@ -2,11 +2,11 @@
 
 Four kinds of evidence are multiplied: the text's likelihood under byte-trigram models, the declared markup language and
 the address suffix by how often each is seen with each language, and a prior of the host, smoothed towards that of its
-domain and this towards that of the whole corpus. The text models are trained on a bounded sample of rows with a declared
-language (MAX_TRAIN, by a hash of the id); everything else is counted over all rows by grouped aggregation, taking a row's
+domain and this towards that of the whole corpus. The text models are trained on a bounded sample of the rows that declare
+each language (MAX_TRAIN of each, by a hash of the id); everything else is counted over all rows by grouped aggregation, taking a row's
 language from its text. Trigrams overlap, so their logarithms are tempered.
 
-Languages are the declared ones with at least MIN_SHARE of the sample. The joins carry a few numbers a row, never texts;
+Languages are all declared ones with at least MIN_ROWS labelled rows, whatever their share. The joins carry a few numbers a row, never texts;
 count tables of more than BROADCAST_ROWS rows are joined by a shuffle, whose hot host is split by adaptive execution.
 
 Defined results: a null or empty text and one without letters has no text evidence and is rejected; a null or
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from platter.llm.common import checkpointed, fresh, utf8
 
 MAX_TRAIN = 20_000
-MAX_LANGUAGES = 64
-MIN_SHARE = 0.005
+#: Labelled rows from which a language is one; fewer are taken for slips of the declaration.
+MIN_ROWS = 3
+#: Languages whose counts a task holds before it passes them on.
+HELD_LANGUAGES = 256
 MIN_POSTERIOR = 0.5
 PLACES = 1 << 15
 TEMPER = 0.15
@@ -56,7 +58,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: dict[str, int] = {}
     for batch in batches:
         for lang, text in zip(batch.column("declared").to_pylist(), utf8(batch.column("text")), strict=True):
-            if lang not in total and len(total) >= 4 * MAX_LANGUAGES:
+            if lang not in total and len(total) >= HELD_LANGUAGES:
                 yield from _flush(total, rows)
             total.setdefault(lang, np.zeros(PLACES, np.int64))
             total[lang] += np.bincount(trigrams(text), minlength=PLACES)
@@ -75,17 +77,15 @@ def _flush(total: dict[str, np.ndarray], rows: dict[str, int]) -> Iterator[pa.Re
 def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of each place under each). rows: id, text, declared."""
     labelled = rows.filter("declared IS NOT NULL AND declared <> '' AND text IS NOT NULL").select("id", "declared", "text")
-    n = labelled.count()
-    if n > MAX_TRAIN:
-        labelled = labelled.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < max(1, int(1_000_000 * MAX_TRAIN / n)))
+    seen = checkpointed(labelled.groupBy("declared").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_ROWS))
+    languages = sorted(r.declared for r in seen.collect())
+    rates = _by_size(seen.select(F.col("declared").alias("named"), (F.lit(1_000_000 * MAX_TRAIN) / F.col("n")).alias("rate")))
+    labelled = labelled.join(rates, F.col("declared") == F.col("named")).filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.greatest(F.lit(1.0), F.col("rate")))
     counted = checkpointed(labelled.select("declared", "text").mapInArrow(_counts, "lang string, place bigint, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")))
-    # At most MAX_LANGUAGES languages, and PLACES numbers of each, reach the driver.
-    seen = counted.filter("place = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    whole = sum(r.n for r in seen)
-    languages = sorted(r.lang for r in seen if r.n >= MIN_SHARE * whole)
+    # PLACES numbers of each language reach the driver.
     model = np.zeros((len(languages), PLACES))
     number = {x: i for i, x in enumerate(languages)}
-    for r in counted.filter(F.col("lang").isin(languages) & (F.col("place") >= 0)).toLocalIterator():
+    for r in counted.filter("place >= 0").toLocalIterator():
         model[number[r.lang], r.place] = r.n
     model += 0.5
     return languages, np.log(model / model.sum(axis=1, keepdims=True)) if len(languages) else model

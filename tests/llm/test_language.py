@@ -101,3 +101,19 @@ def test_queries_and_filter(spark, rows, tmp_path):
     got = pages_language(spark, str(tmp_path)).filter("page_id < 900").collect()
     truth = {x[0]: x[5] for x in rows}
     assert all(r.language == truth[r.page_id] for r in got)
+
+
+def test_small_and_many_languages(spark, rows, monkeypatch):
+    """Languages of five rows each, far under one in two hundred, and more than 64 of them."""
+    r = random.Random(7)
+    own = {f"l{k:02}": [chr(0x400 + 4 * k + j) * 2 for j in range(4)] for k in range(70)}
+    word = lambda lang: "".join(r.choice(own[lang]) for _ in range(3))
+    small = [(10_000 + 10 * k + i, " ".join(word(lang) for _ in range(30)), lang, None, None) for k, lang in enumerate(own) for i in range(5)]
+    large = [(x[0] + 300 * k, *x[1:5]) for x in rows for k in range(10)]
+    few = [(20_000 + i, small[0][1], "slip", None, None) for i in range(2)]
+    monkeypatch.setattr(language, "MAX_TRAIN", 500)
+    names, _ = language.train(spark.createDataFrame([(i, i, t, d, s, h) for i, t, d, s, h in [*large, *small, *few]], SCHEMA))
+    assert names == sorted([*SYLLABLES, *own])
+    one = [x for x in small if x[2] == "l07"]
+    got = found(spark, [*large, *one, (30_000, one[0][1], None, None, None)])
+    assert all(got[x[0]].language == "l07" and got[x[0]].kept for x in one) and got[30_000].language == "l07"
