@@ -2,7 +2,8 @@
 
 A list is a log of dated changes (list, entry, action add or remove, at). Consecutive changes of an entry become validity
 intervals, and a capture is judged by the entries that were active when it was fetched. Entries are URL prefixes
-(host/segment), hosts or parent domains; a capture asks for its own few keys by equality. Both sides also carry a time
+(host/segment/...), hosts or parent domains; a capture asks for its own keys by equality, which are all parent domains of
+its host and as many path segments as the longest entry has. Both sides also carry a time
 bucket of BUCKET_DAYS days, into which intervals are split: a key with a long history then meets only the intervals of the
 same weeks, and the captures of a frequent host are dealt over the buckets.
 
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 from platter.llm.common import checkpointed
 
 BUCKET_DAYS = 32
-#: Labels of a host, and segments of a path, that are asked for at most by design of the list format.
-LABELS, SEGMENTS = 6, 2
 BROADCAST_ROWS = 200_000
 
 
@@ -31,14 +30,15 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
 
-def keys(url: Column) -> Column:
-    """The entries that match a URL, the most specific first: prefixes of up to SEGMENTS path segments, the host, its parents."""
+def keys(url: Column, segments: int | None = None) -> Column:
+    """The entries that match a URL, the most specific first: path prefixes (of up to so many segments), the host, its parents."""
     path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)", 1)
-    parts = F.slice(F.split(F.regexp_replace(path, "^/", ""), "/"), 1, SEGMENTS)
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    parts = parts if segments is None else F.slice(parts, 1, segments)
     labels = F.split(host(url), "\\.")
-    prefixes = [F.when((F.size(parts) >= n) & (F.get(parts, F.lit(n - 1)) != ""), F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, n), "/"))) for n in range(SEGMENTS, 0, -1)]
-    parents = [F.when(F.size(labels) - n >= 2, F.array_join(F.slice(labels, n + 1, 64), ".")) for n in range(LABELS)]
-    return F.when(host(url) != "", F.array_compact(F.array(*prefixes, *parents)))
+    prefixes = F.reverse(F.transform(parts, lambda part, i: F.when(part != "", F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, i + 1), "/")))))
+    parents = F.transform(labels, lambda _, i: F.when(F.size(labels) - i >= 2, F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
+    return F.when(host(url) != "", F.array_compact(F.concat(prefixes, parents)))
 
 
 def _bucket(at: Column) -> Column:
@@ -56,14 +56,16 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """captures: id, url, at. Returns id, url, at, blocked, and of the deciding entry: list, entry, since."""
-    counted = captures.groupBy("id", "url", "at").agg(F.count("*").cast("int").alias("copies"))
-    asked = counted.select("*", F.posexplode_outer(F.when(F.col("at").isNotNull(), keys(F.col("url")))).alias("rank", "key")).withColumn("bucket", _bucket(F.col("at")))
     last = F.lit(captures.agg(F.max("at").alias("last")).first()["last"]).cast("timestamp")
     active = intervals(changes).filter(F.col("since") <= last)
     ends = F.least(F.coalesce(F.col("until"), last), last)
     split = checkpointed(active.select("*", F.explode(F.sequence(_bucket(F.col("since")), F.greatest(_bucket(F.col("since")), _bucket(ends)))).alias("in_bucket")))
-    if split.count() <= BROADCAST_ROWS:
+    # A key of n segments has n slashes, so more segments than that are in no entry.
+    size = split.agg(F.count("*").alias("n"), F.max(F.size(F.split("entry", "/")) - 1).alias("segments")).first()
+    if size["n"] <= BROADCAST_ROWS:
         split = F.broadcast(split)
+    counted = captures.groupBy("id", "url", "at").agg(F.count("*").cast("int").alias("copies"))
+    asked = counted.select("*", F.posexplode_outer(F.when(F.col("at").isNotNull(), keys(F.col("url"), size["segments"] or 0))).alias("rank", "key")).withColumn("bucket", _bucket(F.col("at")))
     on = (F.col("key") == F.col("entry")) & (F.col("bucket") == F.col("in_bucket")) & (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     met = asked.join(split, on, "left")
     # The first by rank; where one entry is on several lists, blocking before not blocking, then by the list's name.

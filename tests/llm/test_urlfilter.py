@@ -81,3 +81,14 @@ def test_empty(spark, case):
     none = [spark.createDataFrame([], s) for s in SCHEMAS]
     assert urlfilter.judge(none[0], spark.createDataFrame(case[1], SCHEMAS[1])).count() == 0
     assert not any(r.blocked for r in urlfilter.judge(spark.createDataFrame(case[0], SCHEMAS[0]), none[1]).collect())
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_deep_paths_and_hosts_of_many_labels(spark, monkeypatch, few):
+    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", few)
+    host = "a.b.c.d.e.f.g.h.example.com"
+    entries = ["x.org/a/b/c", "x.org/a/b", "y.org/" + "/".join("pqrstuvw"), "h.example.com", "example.net"]
+    changes = spark.createDataFrame([("l", e, True, "add", DAY) for e in entries], SCHEMAS[1])
+    urls = ["http://x.org/a/b/c/d?q", "http://x.org/a/b/x", "http://x.org/a", "http://y.org/p/q/r/s/t/u/v/w", "http://y.org/p/q/r/s/t/u/v/", f"http://{host}/", "http://" + "z." * 70 + "example.net/a/b/c/d"]
+    got = urlfilter.judge(spark.createDataFrame([(i, u, DAY) for i, u in enumerate(urls)], SCHEMAS[0]), changes)
+    assert [r.entry for r in got.orderBy("id").collect()] == [entries[0], entries[1], None, entries[2], None, entries[3], entries[4]]
