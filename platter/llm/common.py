@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +40,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables that one operator stores in the shared folder while it runs, compressed; drop() deletes them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.n = spark, f"{checkpoint_folder(spark)}/scratch-{uuid4()}", 0
+
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
+        self.n += 1
+        df.write.options(**options).parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+    def by_size(self, df: DataFrame, most: int) -> DataFrame:
+        """df, stored, and broadcast where its counted rows are at most so many."""
+        df = self.keep(df)
+        return F.broadcast(df) if df.count() <= most else df
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -3,15 +3,19 @@
 A line is the set of its lower-cased words. It is removed if some earlier line, in the order of (id, line number), has a
 Jaccard similarity of at least the threshold with it; so the first of any group of alike lines stays.
 
-1. Equal lines are found by hash; only the first of them goes on, so a line that a third of all documents share is one row.
-2. The corpus frequency of words is counted in a table of fixed size (2^16 buckets), whose logarithms fit in a 64 kB
-   literal. A word's rank is (class of its bucket, hash): a total order with rare words first, the same for all lines.
-3. A line's words are ordered by rank, and its prefix (the rarest ones, enough to share one with any match) becomes
-   postings (word, line). Postings of a word meet in one sorted group.
-4. Length, position and a parity bitmap of the words (it cannot differ in more bits than the sets differ in words) reject pairs before they
-   leave the join. Lines of large groups of near copies would meet pair by pair; so each posting is first compared with the
-   first of its word and the ones before it, and one that has a very near partner there asks no others in that group.
-5. Candidates are verified on the words themselves. Lines whose near partners all fail ask all others after all.
+1. Texts are cut into lines and words once; lines are stored as arrays of word hashes, which all later steps read.
+2. Equal lines are found by 128 bits of hash; only the first of them goes on, so a line that a third of all documents share
+   is one row.
+3. Lines that share one of four keys (their first or last words, or those of least or of greatest hash) with an earlier line
+   are compared with the first of them. What this removes is removed for certain; in large groups of near copies it is all but a few lines, which
+   is why the join that follows doesn't meet such groups pair by pair. It decides nothing else.
+4. The corpus frequency of words is counted in a table of fixed size (2^16 buckets), whose logarithms fit in a literal. A
+   word's rank is (class of its bucket, hash): a total order with rare words first, the same for all lines.
+5. A line's words are ordered by rank, and its prefix (the rarest ones, enough to share one with any match) becomes
+   postings (word, line). Postings of a word meet, unless both lines are removed already; both sides of that join read one
+   shuffle. Length, position and a parity bitmap of the words (it cannot differ in more bits than the sets
+   differ in words) reject pairs before they leave the join.
+6. Candidates are verified on the whole sets.
 
 Lines of so few words that only an equal set can reach the threshold (up to three at 80 %) have one posting, the hash of
 the set, so that short lines of common words do not meet all others of a word.
@@ -19,24 +23,26 @@ the set, so that short lines of common words do not meet all others of a word.
 Defined results: lines of fewer than min_chars characters (blanks at the ends not counted) are never removed and remove
 none (with 1, as the registered query and the pipeline's stage have it, these are the lines without a word); null text has no lines and stays null; a text whose lines all go becomes empty; rows with a null id come after all
 others, and rows that share an id are ordered by line number first; rows with equal id and text are one row to the join and
-all get its result; other columns are kept untouched.
+all get its result; an empty table gives an empty one; a text of any length is cut whole, and its lines meet others one by
+one; other columns are kept untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platter.llm.common import checkpointed, fresh
+from platter.llm.common import Scratch, checkpointed, fresh
 
 BUCKETS = 1 << 16
-#: Rows of two or three integers that are broadcast at most; beyond, the same join is done by a shuffle.
+#: Rows of a few integers that are broadcast at most; beyond, the same join is done by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Postings of a word that a posting is compared with before all: the first, and so many before it.
-BEFORE = 3
+#: Words in a key of step 3.
+KEY_WORDS = 3
 
+#: Words are known by so many bits of their hash, which leaves a byte of a rank for the class.
 _HASH = (1 << 56) - 1
 LAST_ID = (1 << 63) - 1
 
@@ -46,170 +52,166 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _by_size(df: DataFrame) -> DataFrame:
-    """df, stored, and broadcast where its counted rows are few."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits for a row's id and text."""
+    return [F.xxhash64(id_col, text_col), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """low is the lower-cased text with blanks for the other white space within lines, which is rare."""
-    low = F.lower(text_col)
-    odd = [F.contains(text_col, F.lit(c)) for c in "\t\v\f\r"]
-    low = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(low, "[\\t\\x0B-\\r]", " ")).otherwise(low)
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(id_col, text_col).alias("row_key"), low.alias("low"))
+def _lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, k1, k2, line_no, s1, s2, line, ends, x) of the lines that count; line is a number of its own.
 
+    s1 and s2 are hashes of the lower-cased line without blanks at its ends, ends of its first and its last words. Blanks
+    stand for the other white space within lines, which is rare. x has the hashes of the different words, in order, and the
+    parities of 128 classes of words, which cannot differ in more bits than two sets do in words.
+    """
+    doc, (k1, k2) = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)), _row_key(id_col, text_col)
+    plain = F.col(text_col)
+    odd = [F.contains(plain, F.lit(c)) for c in "\t\v\f\r"]
+    plain = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(plain, "[\\t\\x0B-\\r]", " ")).otherwise(plain)
+    found = docs.select(doc.alias("doc"), k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(plain, "\n")).alias("line_no", "text"))
+    found = found.withColumn("text", F.trim(F.lower("text")))
+    found = found.filter(F.length("text") >= min_chars if min_chars > 1 else F.col("text") != "")
+    hashes = F.transform(F.array_remove(F.split("text", " "), ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_HASH)))
 
-def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """(..., line_no, line, sid) of the lines that count; sid is a hash of the lower-cased line without blanks at its ends."""
-    found = rows.select(*[c for c in rows.columns if c != "low"], F.posexplode(F.split("low", "\n")).alias("line_no", "line"))
-    return found.withColumn("line", F.trim("line")).filter(F.length("line") >= min_chars).withColumn("sid", F.xxhash64("line"))
+    ones = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
 
+    def parity(words: Column, ones: list[int]) -> Column:
+        table, last = F.lit(ones), F.lit(len(ones) - 1)
+        return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.get(table, h.bitwiseAND(last).cast("int"))))
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+    def parities(words: Column) -> Column:
+        return F.struct(words.alias("words"), parity(words, ones + [0] * 64).alias("bits"), parity(words, [0] * 64 + ones).alias("more_bits"))
 
+    def described(hashes: Column) -> Column:
+        return F.struct(_ends(hashes, 0).alias("ends"), let(F.sort_array(F.array_distinct(hashes)), parities).alias("set"))
 
-def word_classes(rows: DataFrame) -> bytes:
-    """For each bucket of word hashes the class of its corpus frequency, from 1 to 127: four steps for each doubling."""
-    words = rows.select(F.explode(F.split(F.translate("low", "\n", " "), " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
-    classes = bytearray(b"\x01" * BUCKETS)
+    return found.select("doc", "k1", "k2", "line_no", F.xxhash64("text").alias("s1"), F.xxhash64(F.lit(1), F.col("text")).alias("s2"), F.monotonically_increasing_id().alias("line"), let(hashes, described).alias("x"))
+
+
+def _ends(words: Column, salt: int) -> Column:
+    """Keys of the first and of the last words."""
+    n = F.least(F.size(words), F.lit(KEY_WORDS))
+    return F.array(F.xxhash64(F.lit(salt), F.slice(words, 1, n)), F.xxhash64(F.lit(salt + 1), F.slice(words, F.size(words) - n + 1, n)))
+
+
+def word_classes(lines: DataFrame) -> Column:
+    """For each bucket of word hashes the class of its corpus frequency, from 1 to 127 (four steps for each doubling)."""
+    words = lines.select(F.explode("x.set.words").alias("w"))
+    counts = words.groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    classes = [1] * BUCKETS
     for bucket, c in counts.select("bucket", F.least(F.lit(127), 1 + F.floor(F.log2("count") * 4)).cast("int")).collect():
         classes[bucket] = c
-    return bytes(classes)
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # a constant to the optimizer
 
 
-def _ranks(line: Column, classes: bytes) -> Column:
-    """A line's different words as ranks, rare ones first."""
-    table = F.lit(classes)
+_PARTS = ("line", "place", "bits", "more_bits")
+_UNDER = (1 << 32) - 1
 
-    def rank(h: Column) -> Column:
-        code = F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(code.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))
 
-    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), rank))
+def postings(lines: DataFrame, classes: Column, percent: int) -> DataFrame:
+    """(word, line, place, bits, more_bits) of the prefixes of the lines.
 
+    place holds a line's size, its words from the posting's on, and in the lowest bit whether it asks.
+    """
 
-def _bit(rank: Column) -> Column:
-    """One of 64 bits, chosen by a rank's hash."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), rank.bitwiseAND(F.lit(63)).cast("int"))
-
+    def rank(h: Column) -> Column:
+        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(h)
 
-def postings(lines: DataFrame, classes: bytes, percent: int) -> DataFrame:
-    """(word, sid, doc, line_no, size, pos, bits) of the prefixes of the lines, size and pos in one integer."""
-    def signature(ranks: Column) -> Column:
+    def prefix(ranks: Column) -> Column:
         size = F.size(ranks)
         overlap = F.floor((size * percent + 99) / 100).cast("int")  # the least one with any match
-        bits = F.aggregate(ranks, F.lit(0).cast("bigint"), lambda acc, r: acc.bitwiseXOR(_bit(r)))
         # No set of one word more or less, nor another one of as many, can reach the threshold.
         alone = ((size + 1) * percent > size * 100) & ((size - 1) * 100 < size * percent) & ((size - 1) * (100 + percent) < size * 2 * percent)
-        prefix = F.when(alone, F.array(F.xxhash64(ranks))).otherwise(F.slice(ranks, 1, size - overlap + 1))
-        return F.struct(size.cast("bigint").alias("size"), bits.alias("bits"), prefix.alias("prefix"))
+        return F.when(alone, F.array(F.xxhash64(ranks))).otherwise(F.slice(ranks, 1, size - overlap + 1))
 
-    signed = lines.select("sid", "doc", "line_no", let(_ranks(F.col("line"), classes), signature).alias("x"))
-    found = signed.select("sid", "doc", "line_no", "x.size", "x.bits", F.posexplode("x.prefix").alias("pos", "word"))
+    words = F.col("x.set.words")
+    found = lines.select("line", "asks", F.size(words).cast("bigint").alias("size"), "x.set.bits", "x.set.more_bits", F.posexplode(let(F.sort_array(F.transform(words, rank)), prefix)).alias("pos", "word"))
+    place = F.shiftleft("size", 32).bitwiseOR(F.shiftleft(F.col("size") - F.col("pos"), 1)).bitwiseOR(F.col("asks").cast("bigint"))
+    found = found.withColumn("place", place).select("word", *_PARTS)
     # Both sides of the join read one shuffle only if no null tests are planned for one of them.
-    known = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
-    place = F.shiftleft("size", 32).bitwiseOR(F.col("pos").cast("bigint"))
-    return found.select(known(F.col("word")).alias("word"), known(F.col("sid")).alias("sid"), known(F.col("doc")).alias("doc"), known(F.col("line_no").cast("bigint")).alias("line_no"), known(place).alias("place"), known(F.col("bits")).alias("bits"))
-
-
-_PARTS = ("sid", "doc", "line_no", "place", "bits")
+    return found.select(*[F.coalesce(c.name, F.lit(0).cast(c.dataType)).alias(c.name) for c in found.schema])
 
 
 def _may_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
-    """The length, positional and bitmap filters, for two postings of one word."""
-    size = [F.shiftright(x["place"], 32) for x in (a, b)]
-    left = [n - x["place"].bitwiseAND(F.lit((1 << 32) - 1)) for n, x in zip(size, (a, b), strict=True)]
+    """The length and bitmap filters, for two lines of column size."""
     # An overlap o is enough if 100 o >= percent (total - o); sets of that overlap differ in total - 2 o words.
-    total = size[0] + size[1]
-    return (
-        (size[0] * 100 >= size[1] * percent)
-        & (size[1] * 100 >= size[0] * percent)
-        & (F.least(*left) * (100 + percent) >= total * percent)
-        & (F.bit_count(a["bits"].bitwiseXOR(b["bits"])) * (100 + percent) <= total * (100 - percent))
-    )
+    total = a["size"] + b["size"]
+    differ = F.bit_count(a["bits"].bitwiseXOR(b["bits"])) + F.bit_count(a["more_bits"].bitwiseXOR(b["more_bits"]))
+    return (b["size"] * 100 >= a["size"] * percent) & (a["size"] * 100 >= b["size"] * percent) & (differ * (100 + percent) <= total * (100 - percent))
 
 
 def candidates(posts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (sid, other), other not later; near: the posting that gave it asked no others in its group."""
-    by_place = Window.partitionBy("word").orderBy("doc", "line_no", "sid")
-    here = F.struct(*_PARTS)
-    me = {p: F.col(p) for p in _PARTS}
-    total = F.shiftright("place", 32)
-
-    def very_near(x: Column) -> Column:
-        # Half the bits that the threshold allows, and few enough for 64 bits to tell.
-        differ = F.bit_count(me["bits"].bitwiseXOR(x["bits"]))
-        both = total + F.shiftright(x["place"], 32)
-        return x.isNotNull() & (x["sid"] != me["sid"]) & _may_match(me, {p: x[p] for p in _PARTS}, percent) & (differ <= 16) & (differ * 2 * (100 + percent) <= both * (100 - percent))
-
-    before = [F.first(here).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag(here, i).over(by_place) for i in range(1, BEFORE + 1)]]
-    grouped = posts.select("word", *_PARTS, *[x.alias(f"x{i}") for i, x in enumerate(before)], F.lead("sid").over(by_place).alias("next"))
-    shared = grouped.filter("x1 IS NOT NULL OR next IS NOT NULL")  # a word of one posting has no pairs
-    partner = F.coalesce(*[F.when(very_near(F.col(f"x{i}")), F.col(f"x{i}.sid")) for i in range(len(before))])
-    a = shared.select("word", *_PARTS, partner.alias("partner")).alias("a")
-    return _ask(a, posts, percent)
-
-
-def _ask(asking: DataFrame, posts: DataFrame, percent: int) -> DataFrame:
-    """asking has (word, parts, partner); those without a partner meet all postings of their word that aren't later."""
-    a, b = asking.alias("a"), posts.alias("b")
-    mine, theirs = ({p: F.col(f"{s}.{p}") for p in _PARTS} for s in "ab")
-    not_later = (theirs["doc"] < mine["doc"]) | (theirs["doc"] == mine["doc"]) & (theirs["line_no"] <= mine["line_no"])
-    on = (F.col("a.word") == F.col("b.word")) & F.col("a.partner").isNull() & (mine["sid"] != theirs["sid"]) & not_later & _may_match(mine, theirs, percent)
-    met = a.join(b, on, "left").select(F.col("a.sid").alias("sid"), F.coalesce("a.partner", "b.sid").alias("other"), F.col("a.partner").isNotNull().alias("near"))
-    return met.filter("other IS NOT NULL").groupBy("sid", "other").agg(F.max("near").alias("near"))
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """(sid, row_key, line_no) of the later line of each pair that reaches the threshold."""
-    named = _by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct())
-    found = lines.join(named, F.col("sid") == F.col("need"), "left_semi").select("sid", "line", F.struct("doc", "line_no", "row_key").alias("at"))
-    found = checkpointed(found.groupBy("sid").agg(F.min(F.struct("at", "line")).alias("x")).select("sid", "x.at", "x.line"))
-    other = found.select(F.col("sid").alias("other"), F.col("at").alias("other_at"), F.col("line").alias("other_line"))
-
-    def alike(sets: Column) -> Column:
-        return F.size(F.array_intersect(sets["a"], sets["b"])) * (100 + percent) >= (F.size(sets["a"]) + F.size(sets["b"])) * percent
-
-    sets = F.struct(*[F.array_distinct(_words(F.col(c))).alias(n) for n, c in (("a", "line"), ("b", "other_line"))])
-    later = F.when(F.col("at") > F.col("other_at"), F.struct("sid", "at")).otherwise(F.struct(F.col("other").alias("sid"), F.col("other_at").alias("at")))
-    met = pairs.select("sid", "other").join(found, "sid").join(other, "other").filter(let(sets, alike)).select(later.alias("x"))
-    return met.select("x.sid", "x.at.row_key", "x.at.line_no").distinct()
+    """Pairs (line, other) of which one asks.
+
+    The generated code of the join must stay under 8,000 bytes a method, beyond which the virtual machine doesn't compile
+    it; and nothing may be computed or filtered on one side alone, or each side has a shuffle of its own.
+    """
+    a, b = posts.alias("a"), posts.alias("b")
+    mine, theirs = ({p: F.col(f"{s}.{p}") for p in _PARTS} | {"size": F.shiftright(f"{s}.place", 32), "rest": F.shiftright(F.col(f"{s}.place").bitwiseAND(F.lit(_UNDER)), 1)} for s in "ab")
+    asked = (mine["line"] > theirs["line"]) & (mine["place"].bitwiseOR(theirs["place"]).bitwiseAND(F.lit(1)) == 1)
+    placed = F.least(mine["rest"], theirs["rest"]) * (100 + percent) >= (mine["size"] + theirs["size"]) * percent
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & asked & _may_match(mine, theirs, percent) & placed)
+    return met.select(mine["line"].alias("line"), theirs["line"].alias("other")).distinct()
+
+
+def _reached(scratch: Scratch, pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """(line, k1, k2, line_no) of the later line of each pair (line, other) that reaches the threshold."""
+    named = scratch.by_size(pairs.select(F.explode(F.array("line", "other")).alias("line")).distinct(), BROADCAST_ROWS)
+    whole = scratch.keep(lines.join(named, "line", "left_semi").select(F.struct("doc", "line_no", "k1", "k2", "line").alias("at"), "x.set.words"))
+    mine, theirs = (whole.select(F.col("at.line").alias(x), F.col("at").alias(f"{x}_at"), F.col("words").alias(f"{x}_words")) for x in ("line", "other"))
+    sizes = F.size("line_words") + F.size("other_words")
+    met = pairs.join(mine, "line").join(theirs, "other").filter(F.size(F.array_intersect("line_words", "other_words")) * (100 + percent) >= sizes * percent)
+    # Lines of one place are of two equal rows, or the same.
+    met = met.filter(F.col("line_at").dropFields("line") != F.col("other_at").dropFields("line"))
+    return scratch.keep(met.select(F.greatest("line_at", "other_at").alias("x")).select("x.line", "x.k1", "x.k2", "x.line_no").distinct())
+
+
+def _first_lines(scratch: Scratch, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of which each differs from all others, and (k1, k2, line_no) of the repeats."""
+    again = scratch.by_size(lines.groupBy("s1", "s2").count().filter("count > 1").select("s1", "s2"), BROADCAST_ROWS)
+    # Rows that are equal altogether share a place; one of their lines goes on.
+    places = scratch.keep(lines.join(again, ["s1", "s2"]).select("s1", "s2", F.struct("doc", "line_no", "k1", "k2").alias("at"), "line"))
+    firsts = scratch.by_size(places.groupBy("s1", "s2").agg(F.min(F.struct("at", "line")).alias("x")).select("s1", "s2", F.col("x.at").alias("first"), F.col("x.line").alias("first_line")), BROADCAST_ROWS)
+    repeats = scratch.keep(places.join(firsts, ["s1", "s2"]).filter("at <> first").select("at.k1", "at.k2", "at.line_no").distinct())
+    return lines.join(firsts.select("s1", "s2", "first_line"), ["s1", "s2"], "left").filter("first_line IS NULL OR line = first_line").drop("first_line"), repeats
+
+
+def _near_first(scratch: Scratch, lines: DataFrame, percent: int) -> DataFrame:
+    """Pairs (line, other) of lines that share a key, each line with the first one of its keys."""
+    words = F.col("x.set.words")
+    keyed = lines.select("line", "doc", F.size(words).alias("size"), "x.set.bits", "x.set.more_bits", F.explode(F.concat("x.ends", _ends(words, 2))).alias("key"))
+    shared = scratch.by_size(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1").select("key", "first"), BROADCAST_ROWS)
+    keyed = scratch.keep(keyed.join(shared, "key"))
+    heads = scratch.by_size(keyed.filter("doc = first").groupBy("key").agg(F.min(F.struct("line", "size", "bits", "more_bits")).alias("b")), BROADCAST_ROWS)
+    mine, theirs = ({p: F.col(f"{s}{p}") for p in ("line", "size", "bits", "more_bits")} for s in ("", "b."))
+    met = keyed.join(heads, "key").filter((mine["line"] != theirs["line"]) & _may_match(mine, theirs, percent))
+    return scratch.keep(met.select("line", theirs["line"].alias("other")).distinct())
 
 
 def removed_lines(docs: DataFrame, percent: int = 80, min_chars: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, removed): the numbers, from 0, of the lines that each row loses; only rows that lose some."""
-    rows = _rows(docs, id_col, text_col)
-    places = _lines(rows, min_chars).select("sid", F.struct("doc", "line_no", "row_key").alias("at"))
-    firsts = places.groupBy("sid").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    repeats = places.join(firsts, "sid").filter("at <> first").groupBy("at.row_key").agg(F.collect_set("at.line_no").alias("repeats"))
-    repeats = checkpointed(repeats)
-    known = F.broadcast(repeats) if repeats.count() <= BROADCAST_ROWS else repeats
-    lines = _lines(rows.join(known, "row_key", "left"), min_chars).filter("repeats IS NULL OR NOT array_contains(repeats, line_no)")
-
-    posts = postings(lines, word_classes(rows), percent)
-    pairs = checkpointed(candidates(posts, percent))
-    later = checkpointed(_verified(pairs, lines, percent))
-    doubtful = checkpointed(pairs.filter("near").select("sid").distinct().join(later, "sid", "left_anti"))
-    if not doubtful.isEmpty():
-        few = F.broadcast(doubtful) if doubtful.count() <= BROADCAST_ROWS else doubtful
-        asking = checkpointed(posts.join(few, "sid", "left_semi").select("word", *_PARTS, F.lit(None).cast("bigint").alias("partner")))
-        # Only postings of their words need to be dealt again.
-        asked = posts.join(_by_size(asking.select("word").distinct()), "word", "left_semi")
-        later = later.unionByName(_verified(checkpointed(_ask(asking, asked, percent)), lines, percent)).distinct()
-    near = later.groupBy("row_key").agg(F.collect_set("line_no").alias("removed"))
-    both = repeats.withColumnRenamed("repeats", "removed").unionByName(near)
-    return both.groupBy("row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    """(k1, k2, removed): the numbers, from 0, of the lines that each row loses; only rows that lose some."""
+    scratch = Scratch(docs.sparkSession)
+    every = scratch.keep(_lines(docs, min_chars, id_col, text_col), compression="zstd")
+    lines, repeats = _first_lines(scratch, every)
+    near = _reached(scratch, _near_first(scratch, lines, percent), every, percent)
+    done = near.select("line", F.lit(True).alias("done"))
+    done = F.broadcast(done) if near.count() <= BROADCAST_ROWS else done
+    asking = lines.join(done, "line", "left").withColumn("asks", F.col("done").isNull())
+    pairs = scratch.keep(candidates(postings(asking, word_classes(every), percent), percent))
+    later = near.unionByName(_reached(scratch, pairs, every, percent))
+    gone = repeats.unionByName(later.select("k1", "k2", "line_no")).groupBy("k1", "k2")
+    gone = checkpointed(gone.agg(F.array_sort(F.collect_set("line_no")).alias("removed")))
+    scratch.drop()
+    return gone
 
 
 def dedup(docs: DataFrame, percent: int = 80, min_chars: int = 25, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed") -> DataFrame:
     """docs with the kept lines as text, and the column removed_col: the numbers of the lines that went, in order."""
-    key, lost = fresh(docs, "row_key"), fresh(docs, "lost_lines")
-    gone = checkpointed(removed_lines(docs, percent, min_chars, id_col, text_col)).select(F.col("row_key").alias(key), F.col("removed").alias(lost))
+    k1, k2, lost = (fresh(docs, x) for x in ("k1", "k2", "lost_lines"))
+    gone = removed_lines(docs, percent, min_chars, id_col, text_col).toDF(k1, k2, lost)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    joined = docs.withColumn(key, F.xxhash64(id_col, text_col)).join(gone, key, "left")
+    keys = dict(zip((k1, k2), _row_key(id_col, text_col), strict=True))
+    joined = docs.withColumns(keys).join(gone, [k1, k2], "left")
 
     def without(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))

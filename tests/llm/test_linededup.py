@@ -51,7 +51,7 @@ def rows():
 @pytest.mark.parametrize("few, bound", [(0, 1_000_000), (3, 1_000_000), (3, 0)])
 def test_equals_brute_force(spark, rows, monkeypatch, few, bound):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", bound)
-    monkeypatch.setattr(linededup, "BEFORE", max(1, few))
+    monkeypatch.setattr(linededup, "KEY_WORDS", max(1, few))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row_key string")
     got = linededup.dedup(docs, removed_col="went")
     assert got.columns == ["doc_id", "text", "row_key", "went"]
