@@ -40,6 +40,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: With it, the shuffles of a finished query leave the executors' disks at once, not when the driver's collector finds them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that one operator stores in the shared folder while it runs, compressed; drop() deletes them."""
 
@@ -48,7 +52,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, **options: str) -> DataFrame:
         self.n += 1
-        df.write.options(**options).parquet(f"{self.folder}/{self.n}")
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.options(**options).parquet(f"{self.folder}/{self.n}")
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
 
     def by_size(self, df: DataFrame, most: int) -> DataFrame:

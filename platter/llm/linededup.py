@@ -58,34 +58,31 @@ def _row_key(id_col: str, text_col: str) -> list[Column]:
 
 
 def _lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, k1, k2, line_no, s1, s2, line, ends, x) of the lines that count; line is a number of its own.
+    """(doc, k1, k2, line_no, s1, s2, line, ends, words, bits, more_bits) of the lines that count; line is a number of its own.
 
     s1 and s2 are hashes of the lower-cased line without blanks at its ends, ends of its first and its last words. Blanks
-    stand for the other white space within lines, which is rare. x has the hashes of the different words, in order, and the
-    parities of 128 classes of words, which cannot differ in more bits than two sets do in words.
+    stand for the other white space within lines, which is rare. words are the hashes of the different words, in order; bits
+    and more_bits the parities of 128 classes of them, which cannot differ in more bits than two sets do in words.
     """
     doc, (k1, k2) = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)), _row_key(id_col, text_col)
     plain = F.col(text_col)
     odd = [F.contains(plain, F.lit(c)) for c in "\t\v\f\r"]
     plain = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(plain, "[\\t\\x0B-\\r]", " ")).otherwise(plain)
-    found = docs.select(doc.alias("doc"), k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(plain, "\n")).alias("line_no", "text"))
-    found = found.withColumn("text", F.trim(F.lower("text")))
-    found = found.filter(F.length("text") >= min_chars if min_chars > 1 else F.col("text") != "")
+    found = docs.select(doc.alias("doc"), k1.alias("k1"), k2.alias("k2"), plain.alias("plain"))
+    found = found.select("doc", "k1", "k2", F.posexplode(F.split("plain", "\n")).alias("line_no", "text")).withColumn("text", F.trim(F.lower("text")))
+    # What is used more than once is a column first, so that it is computed once, and in compiled code where there is some.
     hashes = F.transform(F.array_remove(F.split("text", " "), ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_HASH)))
-
+    counts = F.length("text") >= min_chars if min_chars > 1 else F.col("text") != ""
+    place = ("doc", "k1", "k2", "line_no", "s1", "s2", "line")
+    found = found.select(*place[:4], F.xxhash64("text").alias("s1"), F.xxhash64(F.lit(1), F.col("text")).alias("s2"), F.monotonically_increasing_id().alias("line"), hashes.alias("hashes"), counts.alias("counts")).filter("counts")
+    found = found.select(*place, _ends(F.col("hashes"), 0).alias("ends"), F.sort_array(F.array_distinct("hashes")).alias("words"))
     ones = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
 
-    def parity(words: Column, ones: list[int]) -> Column:
+    def parity(ones: list[int]) -> Column:
         table, last = F.lit(ones), F.lit(len(ones) - 1)
-        return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.get(table, h.bitwiseAND(last).cast("int"))))
-
-    def parities(words: Column) -> Column:
-        return F.struct(words.alias("words"), parity(words, ones + [0] * 64).alias("bits"), parity(words, [0] * 64 + ones).alias("more_bits"))
+        return F.aggregate("words", F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.get(table, h.bitwiseAND(last).cast("int"))))
 
-    def described(hashes: Column) -> Column:
-        return F.struct(_ends(hashes, 0).alias("ends"), let(F.sort_array(F.array_distinct(hashes)), parities).alias("set"))
-
-    return found.select("doc", "k1", "k2", "line_no", F.xxhash64("text").alias("s1"), F.xxhash64(F.lit(1), F.col("text")).alias("s2"), F.monotonically_increasing_id().alias("line"), let(hashes, described).alias("x"))
+    return found.select(*place, "ends", "words", parity(ones + [0] * 64).alias("bits"), parity([0] * 64 + ones).alias("more_bits"))
 
 
 def _ends(words: Column, salt: int) -> Column:
@@ -96,7 +93,7 @@ def _ends(words: Column, salt: int) -> Column:
 
 def word_classes(lines: DataFrame) -> Column:
     """For each bucket of word hashes the class of its corpus frequency, from 1 to 127 (four steps for each doubling)."""
-    words = lines.select(F.explode("x.set.words").alias("w"))
+    words = lines.select(F.explode("words").alias("w"))
     counts = words.groupBy(F.col("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
     classes = [1] * BUCKETS
     for bucket, c in counts.select("bucket", F.least(F.lit(127), 1 + F.floor(F.log2("count") * 4)).cast("int")).collect():
@@ -117,15 +114,13 @@ def postings(lines: DataFrame, classes: Column, percent: int) -> DataFrame:
     def rank(h: Column) -> Column:
         return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 56).bitwiseOR(h)
 
-    def prefix(ranks: Column) -> Column:
-        size = F.size(ranks)
-        overlap = F.floor((size * percent + 99) / 100).cast("int")  # the least one with any match
-        # No set of one word more or less, nor another one of as many, can reach the threshold.
-        alone = ((size + 1) * percent > size * 100) & ((size - 1) * 100 < size * percent) & ((size - 1) * (100 + percent) < size * 2 * percent)
-        return F.when(alone, F.array(F.xxhash64(ranks))).otherwise(F.slice(ranks, 1, size - overlap + 1))
-
-    words = F.col("x.set.words")
-    found = lines.select("line", "asks", F.size(words).cast("bigint").alias("size"), "x.set.bits", "x.set.more_bits", F.posexplode(let(F.sort_array(F.transform(words, rank)), prefix)).alias("pos", "word"))
+    size = F.size("ranks")
+    overlap = F.floor((size * percent + 99) / 100).cast("int")  # the least one with any match
+    # No set of one word more or less, nor another one of as many, can reach the threshold.
+    alone = ((size + 1) * percent > size * 100) & ((size - 1) * 100 < size * percent) & ((size - 1) * (100 + percent) < size * 2 * percent)
+    prefix = F.when(alone, F.array(F.xxhash64("ranks"))).otherwise(F.slice("ranks", 1, size - overlap + 1))
+    found = lines.select("line", "asks", "bits", "more_bits", F.sort_array(F.transform("words", rank)).alias("ranks"))
+    found = found.select("line", "asks", size.cast("bigint").alias("size"), "bits", "more_bits", F.posexplode(prefix).alias("pos", "word"))
     place = F.shiftleft("size", 32).bitwiseOR(F.shiftleft(F.col("size") - F.col("pos"), 1)).bitwiseOR(F.col("asks").cast("bigint"))
     found = found.withColumn("place", place).select("word", *_PARTS)
     # Both sides of the join read one shuffle only if no null tests are planned for one of them.
@@ -157,7 +152,7 @@ def candidates(posts: DataFrame, percent: int) -> DataFrame:
 def _reached(scratch: Scratch, pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """(line, k1, k2, line_no) of the later line of each pair (line, other) that reaches the threshold."""
     named = scratch.by_size(pairs.select(F.explode(F.array("line", "other")).alias("line")).distinct(), BROADCAST_ROWS)
-    whole = scratch.keep(lines.join(named, "line", "left_semi").select(F.struct("doc", "line_no", "k1", "k2", "line").alias("at"), "x.set.words"))
+    whole = scratch.keep(lines.join(named, "line", "left_semi").select(F.struct("doc", "line_no", "k1", "k2", "line").alias("at"), "words"))
     mine, theirs = (whole.select(F.col("at.line").alias(x), F.col("at").alias(f"{x}_at"), F.col("words").alias(f"{x}_words")) for x in ("line", "other"))
     sizes = F.size("line_words") + F.size("other_words")
     met = pairs.join(mine, "line").join(theirs, "other").filter(F.size(F.array_intersect("line_words", "other_words")) * (100 + percent) >= sizes * percent)
@@ -178,8 +173,7 @@ def _first_lines(scratch: Scratch, lines: DataFrame) -> tuple[DataFrame, DataFra
 
 def _near_first(scratch: Scratch, lines: DataFrame, percent: int) -> DataFrame:
     """Pairs (line, other) of lines that share a key, each line with the first one of its keys."""
-    words = F.col("x.set.words")
-    keyed = lines.select("line", "doc", F.size(words).alias("size"), "x.set.bits", "x.set.more_bits", F.explode(F.concat("x.ends", _ends(words, 2))).alias("key"))
+    keyed = lines.select("line", "doc", F.size("words").alias("size"), "bits", "more_bits", F.explode(F.concat("ends", _ends(F.col("words"), 2))).alias("key"))
     shared = scratch.by_size(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first")).filter("n > 1").select("key", "first"), BROADCAST_ROWS)
     keyed = scratch.keep(keyed.join(shared, "key"))
     heads = scratch.by_size(keyed.filter("doc = first").groupBy("key").agg(F.min(F.struct("line", "size", "bits", "more_bits")).alias("b")), BROADCAST_ROWS)
@@ -193,7 +187,9 @@ def removed_lines(docs: DataFrame, percent: int = 80, min_chars: int = 25, id_co
     scratch = Scratch(docs.sparkSession)
     every = scratch.keep(_lines(docs, min_chars, id_col, text_col), compression="zstd")
     lines, repeats = _first_lines(scratch, every)
-    near = _reached(scratch, _near_first(scratch, lines, percent), every, percent)
+    passing = Scratch(docs.sparkSession)
+    near = scratch.keep(_reached(passing, _near_first(passing, lines, percent), every, percent))
+    passing.drop()
     done = near.select("line", F.lit(True).alias("done"))
     done = F.broadcast(done) if near.count() <= BROADCAST_ROWS else done
     asking = lines.join(done, "line", "left").withColumn("asks", F.col("done").isNull())
