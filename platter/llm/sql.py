@@ -50,7 +50,7 @@ FROM d LEFT JOIN t USING (doc_id)"""
 LINE_DEDUP = """
 WITH l AS (SELECT doc_id, i - 1 AS line_no, s[i] AS line, trim(lower(s[i]), ' ') AS low
            FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
-e AS (SELECT *, row_number() OVER (PARTITION BY low ORDER BY doc_id, line_no) AS nth FROM l WHERE length(low) >= 25),
+e AS (SELECT *, row_number() OVER (PARTITION BY low ORDER BY doc_id, line_no) AS nth FROM l WHERE regexp_matches(low, '[^ \t-\r]')),
 f AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) AS id, doc_id, line_no, list_distinct(list_filter(string_split_regex(low, '[ \t-\r]+'), lambda w: w <> '')) AS ws
       FROM e WHERE nth = 1),
 t AS (SELECT id, len(ws) AS n, unnest(ws) AS w FROM f),
@@ -82,9 +82,9 @@ x AS (SELECT list, entry, ('0x' || digest[1])::INT AS pick, ('0x' || digest[2:3]
 y AS (SELECT * FROM x WHERE pick < 6 OR list = 'blocked' AND pick < 12),
 log AS (SELECT list, entry, action, {_DAY} AS fetched FROM (
   SELECT list, entry, 'add' AS action, a AS day FROM y UNION ALL SELECT list, entry, 'remove', a + b FROM y UNION ALL SELECT list, entry, 'add', a + b + c FROM y WHERE c < 128)),
-k AS (SELECT page_id, fetched, 10 - i AS rank, host || '/' || array_to_string(parts[1:i], '/') AS key FROM c, range(1, 3) r(i) WHERE host <> '' AND len(parts) >= i AND parts[i] <> ''
+k AS (SELECT page_id, fetched, -i AS rank, host || '/' || array_to_string(parts[1:i], '/') AS key FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c) WHERE host <> '' AND parts[i] <> ''
       UNION ALL
-      SELECT page_id, fetched, 10 + i, array_to_string(string_split(host, '.')[i + 1:], '.') FROM c, range(0, 6) r(i) WHERE host <> '' AND len(string_split(host, '.')) - i >= 2),
+      SELECT page_id, fetched, i, array_to_string(labels[i + 1:], '.') FROM (SELECT *, unnest(range(0, len(labels))) AS i FROM (SELECT *, string_split(host, '.') AS labels FROM c)) WHERE host <> '' AND len(labels) - i >= 2),
 s AS (SELECT page_id, rank, list, entry, max((log.fetched, action)) AS last FROM k JOIN log ON log.entry = k.key AND log.fetched <= k.fetched GROUP BY ALL),
 turns AS (SELECT *, lag(action) OVER (PARTITION BY list, entry ORDER BY fetched, action) AS before FROM log),
 active AS (SELECT page_id, rank, s.list, s.entry, (SELECT max(t.fetched) FROM turns t WHERE t.list = s.list AND t.entry = s.entry AND t.action = 'add' AND t.before IS DISTINCT FROM 'add' AND t.fetched <= s.last[1]) AS since
