@@ -95,6 +95,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def identity(*columns: str) -> Column:
+    """128 bits of hash for the values of columns: struct(a, b)."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *[F.col(c) for c in columns]).alias("b"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet, in whatever case."""
     taken = {c.lower() for c in df.columns}

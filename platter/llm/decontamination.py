@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from platter.llm.common import checkpointed, fresh, shards, utf8
 
+#: Keys of contaminated rows that are broadcast at most; beyond, the same join is done by a shuffle.
+BROADCAST_ROWS = 500_000
+
 #: Bytes of text and rows in a shard at most; bounds a task's memory.
 SHARD_BYTES, SHARD_ROWS = 16 << 20, 8192
 #: Windows that are sent to the executors at once; a larger benchmark goes in several blocks.
@@ -210,6 +213,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of the benchmark. Rows are told apart by id and text."""
-    bad = decontaminate(docs, benchmark, window).filter("n_hit > 0").select(F.col("row_key").alias(bad_key := fresh(docs, "bad_key"))).distinct()
-    key = fresh(docs, "row_key")
-    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(bad, F.col(key) == F.col(bad_key), "left_anti").drop(key)
+    bad_key, bad_id, key = (fresh(docs, x) for x in ("bad_key", "bad_id", "row_key"))
+    bad = checkpointed(decontaminate(docs, benchmark, window).filter("n_hit > 0").select(F.col("row_key").alias(bad_key), F.col("doc_id").alias(bad_id)).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    same = (F.col(key) == F.col(bad_key)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(bad_id))
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(bad, same, "left_anti").drop(key)

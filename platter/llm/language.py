@@ -3,7 +3,7 @@
 Four kinds of evidence are multiplied: the text's likelihood under byte-trigram models, the declared markup language and
 the address suffix by how often each is seen with each language, and a prior of the host, smoothed towards that of its
 domain and this towards that of the whole corpus. The text models are trained on a bounded sample of the rows that declare
-each language (MAX_TRAIN of each, by a hash of the id); everything else is counted over all rows by grouped aggregation, taking a row's
+each language (MAX_TRAIN of each, by a hash of the id), and a longer text counts as one of TEXT_MASS trigrams; everything else is counted over all rows by grouped aggregation, taking a row's
 language from its text. Trigrams overlap, so their logarithms are tempered.
 
 Languages are all declared ones with at least MIN_ROWS labelled rows, whatever their share. The joins carry a few numbers a row, never texts;
@@ -12,7 +12,9 @@ count tables of more than BROADCAST_ROWS rows are joined by a shuffle, whose hot
 Defined results: a null or empty text and one without letters has no text evidence and is rejected; a null or
 empty declaration, suffix or host counts as no evidence of its kind; a row is rejected too if its best language has a
 posterior below MIN_POSTERIOR; without any declared language nothing is known and all rows are rejected; repeated rows are
-returned each; rows with a null id are judged like others; other columns are kept by keep_identified.
+returned each; rows with a null id are judged like others; of languages that are as likely the first by name is taken; an
+empty table gives an empty one; texts of any length are read whole; other columns, whatever their names, are kept by
+keep_identified.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platter.llm.common import checkpointed, fresh, utf8
+from platter.llm.common import checkpointed, fresh, identity, utf8
 
 MAX_TRAIN = 20_000
+#: Trigrams that a text counts as at most in training, so that no long text speaks for its language; a trigram is UNIT counts.
+TEXT_MASS, UNIT = 2_000, 1 << 10
 #: Labelled rows from which a language is one; fewer are taken for slips of the declaration.
 MIN_ROWS = 3
 #: Languages whose counts a task holds before it passes them on.
@@ -61,7 +65,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lang not in total and len(total) >= HELD_LANGUAGES:
                 yield from _flush(total, rows)
             total.setdefault(lang, np.zeros(PLACES, np.int64))
-            total[lang] += np.bincount(trigrams(text), minlength=PLACES)
+            at = trigrams(text)
+            counts = np.bincount(at, minlength=PLACES)
+            total[lang] += np.rint(counts * (UNIT * min(1.0, TEXT_MASS / max(1, len(at))))).astype(np.int64)
             rows[lang] = rows.get(lang, 0) + 1
     yield from _flush(total, rows)
 
@@ -86,7 +92,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     model = np.zeros((len(languages), PLACES))
     number = {x: i for i, x in enumerate(languages)}
     for r in counted.filter("place >= 0").toLocalIterator():
-        model[number[r.lang], r.place] = r.n
+        model[number[r.lang], r.place] = r.n / UNIT
     model += 0.5
     return languages, np.log(model / model.sum(axis=1, keepdims=True)) if len(languages) else model
 
@@ -168,7 +174,7 @@ def identify(rows: DataFrame) -> DataFrame:
 
 def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
     """documents as rows for identify: lang is the declaration, source stands for the host; there is no address."""
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(id_col, text_col, declared_col, host_col).alias("row_key"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(host_col).alias("host"))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), identity(id_col, text_col, declared_col, host_col).alias("row_key"), F.col(text_col).alias("text"), F.col(declared_col).alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col(host_col).alias("host"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -176,7 +182,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     from platter.llm.urlfilter import host
 
     text = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style)[^>]*>.*?</\\1>", " "), "<[^>]*>|&[#A-Za-z0-9]+;", " ")
-    return pages.select(F.col("page_id").cast("bigint").alias("id"), F.xxhash64("page_id", "url", "html").alias("row_key"), text.alias("text"), F.regexp_extract("html", "(?i)<html[^>]*\\blang=[\"']?([A-Za-z]+)", 1).alias("declared"), F.regexp_extract(host(F.col("url")), "\\.([a-z]+)$", 1).alias("suffix"), host(F.col("url")).alias("host"))
+    return pages.select(F.col("page_id").cast("bigint").alias("id"), identity("page_id", "url", "html").alias("row_key"), text.alias("text"), F.regexp_extract("html", "(?i)<html[^>]*\\blang=[\"']?([A-Za-z]+)", 1).alias("declared"), F.regexp_extract(host(F.col("url")), "\\.([a-z]+)$", 1).alias("suffix"), host(F.col("url")).alias("host"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -184,4 +190,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     key, bad = fresh(docs, "row_key"), fresh(docs, "rejected_key")
     rejected = checkpointed(identify(document_rows(docs)).filter("NOT kept").select(F.col("row_key").alias(bad)).distinct())
     rejected = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
-    return docs.withColumn(key, F.xxhash64("doc_id", "text", "lang", "source")).join(rejected, F.col(key) == F.col(bad), "left_anti").drop(key)
+    return docs.withColumn(key, identity("doc_id", "text", "lang", "source")).join(rejected, F.col(key) == F.col(bad), "left_anti").drop(key)

@@ -124,20 +124,22 @@ def uniform(id_column: Column, text: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict | float], share: float, source: Column | None = None, lang: Column | None = None, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns mix: struct(source, lang, topic, tokens, probability, kept)."""
+def mix(docs: DataFrame, targets: dict[str, dict | float], share: float, source: Column | None = None, lang: Column | None = None, topic: Column | None = None, id_col: str = "doc_id", text_col: str = "text", out_col: str = "mix") -> DataFrame:
+    """docs with the column out_col, a name that docs do not have: struct(source, lang, topic, tokens, probability, kept)."""
     tokens = n_tokens(F.col(text_col))
     dims = {"source": F.col("source") if source is None else source, "lang": F.col("lang") if lang is None else lang, "topic": form(F.col(text_col), tokens) if topic is None else topic}
     counted = docs.select(*[c.cast("string").alias(d) for d, c in dims.items()], tokens.alias("tokens"))
     found = probabilities(cells(counted), targets, share)
-    made, out = {d: fresh(docs, f"mix_{d}") for d in (*DIMENSIONS, "tokens", "probability")}, fresh(docs, "mix")
+    made = {d: fresh(docs, f"mix_{d}") for d in (*DIMENSIONS, "tokens", "probability")}
+    own, theirs = ({d: fresh(docs, f"mix_{d}_{x}") for d in DIMENSIONS} for x in ("own", "key"))
+    columns = docs.columns
     docs = docs.select("*", *[c.cast("string").alias(made[d]) for d, c in dims.items()], tokens.alias(made["tokens"]))
     key = {d: F.when(F.col(made[d]).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(made[d]))) for d in DIMENSIONS}
-    found = found.select(*[F.col(d).alias(f"{made[d]}_key") for d in DIMENSIONS], F.col("probability").alias(made["probability"]))
+    found = found.select(*[F.col(d).alias(theirs[d]) for d in DIMENSIONS], F.col("probability").alias(made["probability"]))
     joined = docs
     for d in DIMENSIONS:
-        joined = joined.withColumn(f"{made[d]}_own", key[d])
-    joined = joined.join(found, [F.col(f"{made[d]}_own") == F.col(f"{made[d]}_key") for d in DIMENSIONS], "left")
+        joined = joined.withColumn(own[d], key[d])
+    joined = joined.join(found, [F.col(own[d]) == F.col(theirs[d]) for d in DIMENSIONS], "left")
     p = F.coalesce(F.col(made["probability"]), F.lit(0.0))
     kept = uniform(F.col(id_col), F.col(text_col)) < p
-    return joined.select(*[c for c in docs.columns if c not in made.values()], F.struct(*[F.col(made[d]).alias(d) for d in DIMENSIONS], F.col(made["tokens"]).alias("tokens"), p.alias("probability"), kept.alias("kept")).alias(out))
+    return joined.select(*columns, F.struct(*[F.col(made[d]).alias(d) for d in DIMENSIONS], F.col(made["tokens"]).alias("tokens"), p.alias("probability"), kept.alias("kept")).alias(out_col))

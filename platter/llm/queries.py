@@ -99,7 +99,7 @@ MIX_TARGETS, MIX_SHARE = {"source": 0.5, "lang": 0.5, "topic": 0.0}, 0.3
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probability and fate of every document under the raked mix."""
-    found = mixing.mix(table(spark, sf_dir, "documents"), MIX_TARGETS, MIX_SHARE)
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), MIX_TARGETS, MIX_SHARE)
     return found.select("doc_id", "source", "lang", "mix.topic", F.col("mix.tokens").alias("n_tokens"), F.round("mix.probability", 6).alias("probability"), "mix.kept")
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platter.llm.common import checkpointed, utf8
+from platter.llm.common import Scratch, checkpointed, utf8
 from platter.llm.components import connected
 
 #: Texts of the sample, and how many of them share a shingle that counts as common; at most so many are sent to the tasks.
@@ -102,40 +102,42 @@ def _may_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Colu
     )
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (sid, other) that reach the threshold."""
-    need = checkpointed(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct())
-    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-    sets = checkpointed(_sets(rows.join(need, F.col("sid") == F.col("need"), "left_semi"), shingle))
+    need = scratch.by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct(), BROADCAST_ROWS)
+    sets = scratch.keep(_sets(rows.join(need, F.col("sid") == F.col("need"), "left_semi"), shingle))
     mine = sets.select("sid", F.col("items").alias("x"))
     theirs = sets.select(F.col("sid").alias("other"), F.col("items").alias("y"))
     alike = F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent
-    return checkpointed(pairs.join(mine, "sid").join(theirs, "other").filter(alike).select("sid", "other"))
+    return scratch.keep(pairs.join(mine, "sid").join(theirs, "other").filter(alike).select("sid", "other"))
 
 
 def links(docs: DataFrame, percent: int, shingle: int, text_col: str = "text") -> DataFrame:
     """Edges (a, b) between the hashes (xxhash64) of texts that are alike."""
+    scratch = Scratch(docs.sparkSession)
     every = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("sid"), F.col(text_col).alias("text"))
     # Only texts that occur again are dealt to become one row each.
-    again = checkpointed(every.groupBy("sid").count().filter("count > 1").select("sid"))
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    again = scratch.by_size(every.groupBy("sid").count().filter("count > 1").select("sid"), BROADCAST_ROWS)
     rows = every.join(again, "sid", "left_anti").unionByName(every.join(again, "sid", "left_semi").dropDuplicates(["sid"]))
-    posts = checkpointed(postings(rows, percent, shingle))
+    posts = postings(rows, percent, shingle)
     by_size = Window.partitionBy("word").orderBy("size", "sid")
     here, me = F.struct(*_PARTS), {p: F.col(p) for p in _PARTS}
     first = F.first(here).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Most shingles are in one text; the postings of the others are what is stored.
     near = posts.select("word", *_PARTS, first.alias("x0"), F.lag(here).over(by_size).alias("x1"), F.lead("sid").over(by_size).alias("next")).filter("x1 IS NOT NULL OR next IS NOT NULL")
-    near = checkpointed(near)
+    near = scratch.keep(near)
     asked = [near.filter(F.col(x).isNotNull() & (F.col(f"{x}.sid") != F.col("sid")) & _may_match(me, {p: F.col(f"{x}.{p}") for p in _PARTS}, percent)).select("sid", F.col(f"{x}.sid").alias("other")) for x in ("x0", "x1")]
     ordered = lambda pairs: pairs.select(F.greatest("sid", "other").alias("sid"), F.least("sid", "other").alias("other")).distinct()
-    tried = checkpointed(ordered(asked[0].unionByName(asked[1])))
-    found = _verified(tried, rows, percent, shingle)
+    tried = scratch.keep(ordered(asked[0].unionByName(asked[1])))
+    found = _verified(scratch, tried, rows, percent, shingle)
 
     roots = connected(found.select(F.col("sid").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("sid"), "root")
-    named = checkpointed(near.select("word", *_PARTS).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    named = scratch.keep(near.select("word", *_PARTS).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     mixed = named.groupBy("word").agg(F.mode("root").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("word", "main")
     asking = named.join(mixed, "word").filter("root <> main").alias("a")
     mine, theirs = ({p: F.col(f"{s}.{p}") for p in _PARTS} for s in "ab")
     met = asking.join(named.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.root") != F.col("b.root")) & _may_match(mine, theirs, percent))
-    rest = checkpointed(ordered(met.select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other"))).join(tried, ["sid", "other"], "left_anti"))
-    return found.unionByName(_verified(rest, rows, percent, shingle)).select(F.col("sid").alias("a"), F.col("other").alias("b"))
+    rest = scratch.keep(ordered(met.select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other"))).join(tried, ["sid", "other"], "left_anti"))
+    found = checkpointed(found.unionByName(_verified(scratch, rest, rows, percent, shingle)).select(F.col("sid").alias("a"), F.col("other").alias("b")))
+    scratch.drop()
+    return found

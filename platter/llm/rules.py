@@ -8,7 +8,10 @@ CASE expression.
 
 Defined results: null text has no words and base_failed is true; repeated rows are returned each; rows with a null id are
 judged but never learned from; labels that are null, or of no document, are not used; a document labelled twice counts with its
-lower label; without labels of both kinds no rule is learned, and kept is the opposite of base_failed.
+lower label; without labels of both kinds no rule is learned, and kept is the opposite of base_failed; rows that the base
+rejects are not learned from; of conditions with equal gain the first by feature and threshold is taken; an empty table gives
+an empty one; texts of any length are measured whole, those of more than 2^24 words by a slower sort; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -64,13 +67,23 @@ def n_repeat_words(found: Column) -> Column:
 
             return let(packed, paired)
 
+        def far_positions(h: Column) -> Column:
+            """The same for windows too many to be numbered beside a hash: hash and position are sorted as two numbers."""
+
+            def paired(s: Column) -> Column:
+                after = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
+                before = F.concat(F.array(F.lit(False)), F.slice(after, 1, F.size(after) - 1))
+                return F.filter(F.zip_with(s, F.zip_with(after, before, lambda a, b: a | b), lambda x, same: F.when(same, x["i"])), lambda x: x.isNotNull())
+
+            return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), paired)
+
         both = F.array_intersect(positions(h), positions(F.transform(h, lambda x: F.shiftleft(x, 40).bitwiseOR(F.shiftrightunsigned(x, 24)))))
 
         def covered(p: Column) -> Column:
             gaps = F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.least(F.coalesce(b - a, F.lit(5)), F.lit(5)))
             return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
 
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(F.array_sort(both), covered))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(F.array_sort(F.when(F.size(h) <= 1 << _POSITION_BITS, both).otherwise(far_positions(h))), covered))
 
     windows = let(found, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)])))
     return F.when(F.size(found) < 5, 0).otherwise(let(windows, of_hashes)).cast("bigint")
@@ -186,6 +199,7 @@ def judge(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     """doc_id, the base numbers, base_failed, kept, and rule: the number of the rule that rejects, or 0."""
     rows = checkpointed(measured(docs, id_col, text_col))
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).filter("_label IN (0, 1)")
-    learned = learn(rows.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", *FEATURES, (F.col("_label") == 0).alias("bad")))
+    # What the base rejects needs no rule.
+    learned = learn(rows.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("_id")).select("doc_id", *FEATURES, (F.col("_label") == 0).alias("bad")))
     rule = fired(learned)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (rule == 0)).alias("kept"), rule.alias("rule"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platter.llm import golay
-from platter.llm.common import checkpointed, fresh, utf8
+from platter.llm.common import checkpointed, fresh, identity, utf8
 from platter.llm.components import connected
 
 RADIUS = 3
@@ -43,6 +43,8 @@ MAX_RUN = 8192
 #: Runs of up to so many are compared together, in one vectorised pass for each distance between their rows.
 _SHORT = 12
 SEED = 42
+#: Row keys that are broadcast at most; beyond, the same join is done by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -222,7 +224,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """One row a document: doc_id, row_key, fp, component_id (least id of its class) and first_key, the row_key of the
     class's first row by (id, row_key), null ids last. alike: further links (a, b) between hashes (xxhash64) of texts."""
     own = [F.xxhash64(text_col).alias("sid")] if alike is not None else []
-    rows = checkpointed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), fingerprints(shingle)(F.col(text_col)).alias("fp"), *own))
+    rows = checkpointed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), identity(id_col, text_col).alias("row_key"), fingerprints(shingle)(F.col(text_col)).alias("fp"), *own))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     groups = rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n"))
     edges = links(groups)
@@ -239,7 +241,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, alike: DataFrame | None = None) -> DataFrame:
-    """docs with one row of each class, that of the least id; repeated rows count as members of their class. alike: see classes."""
-    key, kept = fresh(docs, "row_key"), fresh(docs, "kept_key")
-    firsts = classes(docs, id_col, text_col, shingle, alike).select(F.col("first_key").alias(kept)).distinct()
-    return docs.withColumn(key, F.xxhash64(id_col, text_col)).join(firsts, F.col(key) == F.col(kept), "left_semi").dropDuplicates([key]).drop(key)
+    """docs with one row of each class, that of the least id; repeated rows count as members of their class. alike: see classes.
+
+    Of rows that share id and text the least by the JSON of all columns stays. Only keys are joined and counted; texts are
+    dealt only where such rows are more than one.
+    """
+    key, other = fresh(docs, "row_key"), fresh(docs, "other_key")
+    rows = checkpointed(classes(docs, id_col, text_col, shingle, alike).select(F.col("row_key").alias(other), (F.col("row_key") == F.col("first_key")).alias("first")))
+    gone = _by_size(rows.filter("NOT first").select(other).distinct())
+    several = _by_size(rows.filter("first").groupBy(other).count().filter("count > 1").select(other))
+    own = docs.withColumn(key, identity(id_col, text_col)).join(gone, F.col(key) == F.col(other), "left_anti")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    least = own.join(several, F.col(key) == F.col(other), "left_semi").groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias(other)).select(f"{other}.*")
+    return own.join(several, F.col(key) == F.col(other), "left_anti").drop(key).unionByName(least)
+
+
+def _by_size(df: DataFrame) -> DataFrame:
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

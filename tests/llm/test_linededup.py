@@ -60,8 +60,8 @@ def test_equals_brute_force(spark, rows, monkeypatch, few, bound):
     assert any(cut for cut, _ in want.values())
 
 
-def test_doubtful_lines_ask_all_others(spark, monkeypatch):
-    """The nearest by bitmap fails, and a match that was not asked remains: without the second round it would be lost."""
+def test_groups_of_near_lines(spark):
+    """Lines that are near their group's first, or only near others of it."""
     r = random.Random(1)
     rows = []
     for g in range(30):
@@ -105,3 +105,12 @@ def test_short_lines_take_part_in_query_and_stage(spark, tmp_path):
     texts = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
     got = {x.doc_id: x.text for x in corpus_pipeline.line_dedup(spark, docs, "").collect()}
     assert got == {i: t for i, t in texts.items() if not want[i] or t.strip()}
+
+
+def test_very_long_text_and_repeated_rows_of_an_id(spark):
+    long = "\n".join(f"w{i} x{i} y{i} z{i}" for i in range(100_000)) + "\nw7 x7 y7 z7"
+    rows = [(1, long), (2, "w9 x9 y9 z9\nnew words here"), (2, "new words here\nw9 x9 y9 z9"), (2, "new words here\nw9 x9 y9 z9")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, k1 int, lost_lines int")
+    got = linededup.dedup(docs, min_chars=1)
+    assert got.columns == ["doc_id", "text", "k1", "lost_lines", "removed"]
+    assert sorted((r.doc_id, r.removed) for r in got.collect()) == [(1, [100_000]), (2, [0, 1]), (2, [1]), (2, [1])] or sorted((r.doc_id, r.removed) for r in got.collect()) == [(1, [100_000]), (2, [0]), (2, [0, 1]), (2, [0, 1])]

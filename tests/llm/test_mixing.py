@@ -51,3 +51,22 @@ def test_sample_is_fixed_by_id_and_follows_the_probability(spark):
 
 def test_empty_table(spark, limit):
     assert mixed(spark, [], dict.fromkeys(mixing.DIMENSIONS, 0.5), 0.5).count() == 0
+
+
+def test_query_and_stage_with_columns_of_the_operators_names(spark, tmp_path):
+    import corpus_pipeline
+    from platter.llm.queries import op9_mixing
+
+    rows = [(i, "word " * (1 + i % 7), "en", f"s{i % 3}", 5, "x", 1, "own", "key") for i in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix string, mix_tokens long, mix_source_own string, mix_source_key string"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert op9_mixing(spark, str(tmp_path)).count() == 40
+    assert 0 < corpus_pipeline.mix(spark, docs, "").count() < 40
+    found = mixing.mix(docs, dict.fromkeys(mixing.DIMENSIONS, 1.0), 0.5, out_col="made").collect()
+    assert all((r.mix, r.mix_tokens, r.mix_source_own, r.mix_source_key) == ("x", 1, "own", "key") for r in found)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "w " * 3_000_000, "a", "en", "x"), (2, "one", "a", "en", "x")]
+    assert {r.doc_id: r.mix.tokens for r in mixed(spark, rows, dict.fromkeys(mixing.DIMENSIONS, 1.0), 0.5).collect()} == {1: 3_000_000, 2: 1}

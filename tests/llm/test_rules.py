@@ -58,6 +58,11 @@ def labelled(n=900):
     return docs, labels
 
 
+def test_texts_of_more_words_than_fit_beside_a_hash(spark, texts, monkeypatch):
+    monkeypatch.setattr(rules, "_POSITION_BITS", 3)
+    test_base_numbers(spark, texts)
+
+
 def test_learned_list_holds_on_other_rows(spark, tmp_path):
     docs, labels = labelled()
     spark.createDataFrame([*docs, (None, None), (5, docs[5][1])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
