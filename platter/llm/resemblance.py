@@ -5,7 +5,8 @@
 2. Sets are ordered by (common, hash), where common holds hashes that are frequent in a sample. Any total order is right;
    this one keeps frequent shingles out of the prefixes. A prefix is what any match must share one shingle of; it becomes postings.
 3. Postings of a shingle are first compared with the smallest set and with the one before, which is linear in a group of
-   copies. The pairs that pass the length, position and bitmap filters are verified on the whole sets.
+   copies. The pairs that pass the length, position and bitmap filters are compared by sketches of 1,024 parities, which
+   cannot differ in more bits than the sets do in shingles, and those that pass this too are verified on the whole sets.
 4. What is linked so far makes classes. Of each shingle that more than one class has, the postings outside its main class
    meet all the others of other classes, so every pair that could join two classes is verified, and only those.
 
@@ -14,7 +15,7 @@ The edges thus connect what all pairs at the threshold connect, though pairs wit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -30,6 +31,8 @@ from platter.llm.components import connected
 SAMPLE, COMMON, MOST_COMMON = 10_000, 8, 200_000
 BROADCAST_ROWS = 1_000_000
 SEED = 42
+#: Bits of a sketch.
+SKETCH = 1 << 10
 
 _PARTS = ("sid", "size", "pos", "bits")
 
@@ -102,14 +105,33 @@ def _may_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Colu
     )
 
 
+def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """(sid, n, sketch) of rows (sid, text): the size of the set, and the parities of SKETCH classes of its shingles."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t, shingle) for t in utf8(part.column("text"))]
+                made = [np.packbits(np.bincount((x >> 6) & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array([len(x) for x in sets], pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["sid", "n", "sketch"])
+
+    return rows.select("sid", "text").mapInArrow(found, "sid bigint, n bigint, sketch array<bigint>")
+
+
 def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (sid, other) that reach the threshold."""
-    need = scratch.by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct(), BROADCAST_ROWS)
-    sets = scratch.keep(_sets(rows.join(need, F.col("sid") == F.col("need"), "left_semi"), shingle))
-    mine = sets.select("sid", F.col("items").alias("x"))
-    theirs = sets.select(F.col("sid").alias("other"), F.col("items").alias("y"))
-    alike = F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent
-    return scratch.keep(pairs.join(mine, "sid").join(theirs, "other").filter(alike).select("sid", "other"))
+
+    def of_both(pairs: DataFrame, made: Callable[[DataFrame, int], DataFrame], columns: tuple[str, ...]) -> DataFrame:
+        need = scratch.by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct(), BROADCAST_ROWS)
+        found = scratch.keep(made(rows.join(need, F.col("sid") == F.col("need"), "left_semi"), shingle))
+        theirs = found.select(F.col("sid").alias("other"), *[F.col(c).alias(f"{c}_b") for c in columns])
+        return pairs.join(found, "sid").join(theirs, "other")
+
+    differ = F.aggregate(F.zip_with("sketch", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    close = scratch.keep(of_both(pairs, _sketches, ("n", "sketch")).filter(differ * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)).select("sid", "other"))
+    alike = F.size(F.array_intersect("items", "items_b")) * (100 + percent) >= (F.size("items") + F.size("items_b")) * percent
+    return scratch.keep(of_both(close, _sets, ("items",)).filter(alike).select("sid", "other"))
 
 
 def links(docs: DataFrame, percent: int, shingle: int, text_col: str = "text") -> DataFrame:
