@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from struct import unpack_from
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -81,8 +83,26 @@ def crc64_many(values: list[bytes]) -> np.ndarray:
     return out ^ seed ^ np.uint64(ONES)
 
 
+#: A value of fewer bytes is hashed word by word; a longer one has enough chunks to be hashed side by side.
+FEW_BYTES = 1 << 15
+_BYTES = TABLE.tolist()
+_pairs = np.arange(1 << 16)
+#: The map that moves a state over eight bytes, as lookups of two bytes of the state at a time.
+_WORDS = [(ADVANCE[3][2 * k][_pairs & 255] ^ ADVANCE[3][2 * k + 1][_pairs >> 8]).tolist() for k in range(4)]
+
+
 def crc64(value: bytes) -> int:
-    return int(crc64_many([value])[0])
+    """CRC-64 of one value."""
+    if len(value) >= FEW_BYTES:
+        return int(crc64_many([value])[0])
+    a, b, c, d = _WORDS
+    n, state = len(value) // 8, ONES
+    for word in unpack_from(f"<{n}Q", value):
+        state ^= word
+        state = a[state & 0xFFFF] ^ b[state >> 16 & 0xFFFF] ^ c[state >> 32 & 0xFFFF] ^ d[state >> 48]
+    for byte in value[8 * n :]:
+        state = _BYTES[(state ^ byte) & 255] ^ state >> 8
+    return state ^ ONES
 
 
 def crc64_combine(first: int, second: int, second_size: int) -> int:

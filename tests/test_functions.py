@@ -141,3 +141,8 @@ def test_planes_need_whole_groups():
 
 def test_addresses():
     assert cdrom.msf(0) == bytes([0, 2, 0]) and cdrom.msf(4500 * 10 - 150 + 59 * 75 + 74) == bytes([0x10, 0x59, 0x74])
+
+
+def test_crc64_of_one_value_is_that_of_many():
+    values = [bytes(range(256)) * 300, *(bytes((7 * k + n) % 256 for k in range(n)) for n in (0, 1, 7, 8, 9, 64, 511, 4097, checksums.FEW_BYTES - 1, checksums.FEW_BYTES))]
+    assert [checksums.crc64(v) for v in values] == checksums.crc64_many(values).tolist()
