@@ -119,19 +119,18 @@ def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("sid", "text").mapInArrow(found, "sid bigint, n bigint, sketch array<bigint>")
 
 
-def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """The pairs (sid, other) that reach the threshold."""
+def _differ(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
 
-    def of_both(pairs: DataFrame, made: Callable[[DataFrame, int], DataFrame], columns: tuple[str, ...]) -> DataFrame:
-        need = scratch.by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct(), BROADCAST_ROWS)
-        found = scratch.keep(made(rows.join(need, F.col("sid") == F.col("need"), "left_semi"), shingle))
-        theirs = found.select(F.col("sid").alias("other"), *[F.col(c).alias(f"{c}_b") for c in columns])
-        return pairs.join(found, "sid").join(theirs, "other")
 
-    differ = F.aggregate(F.zip_with("sketch", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
-    close = scratch.keep(of_both(pairs, _sketches, ("n", "sketch")).filter(differ * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)).select("sid", "other"))
-    alike = F.size(F.array_intersect("items", "items_b")) * (100 + percent) >= (F.size("items") + F.size("items_b")) * percent
-    return scratch.keep(of_both(close, _sets, ("items",)).filter(alike).select("sid", "other"))
+def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs (sid, other) that reach the threshold."""
+    need = scratch.by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct(), BROADCAST_ROWS)
+    sets = scratch.keep(_sets(rows.join(need, F.col("sid") == F.col("need"), "left_semi"), shingle))
+    mine = sets.select("sid", F.col("items").alias("x"))
+    theirs = sets.select(F.col("sid").alias("other"), F.col("items").alias("y"))
+    alike = F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent
+    return scratch.keep(pairs.join(mine, "sid").join(theirs, "other").filter(alike).select("sid", "other"))
 
 
 def links(docs: DataFrame, percent: int, shingle: int, text_col: str = "text") -> DataFrame:
@@ -151,14 +150,22 @@ def links(docs: DataFrame, percent: int, shingle: int, text_col: str = "text") -
     asked = [near.filter(F.col(x).isNotNull() & (F.col(f"{x}.sid") != F.col("sid")) & _may_match(me, {p: F.col(f"{x}.{p}") for p in _PARTS}, percent)).select("sid", F.col(f"{x}.sid").alias("other")) for x in ("x0", "x1")]
     ordered = lambda pairs: pairs.select(F.greatest("sid", "other").alias("sid"), F.least("sid", "other").alias("other")).distinct()
     tried = scratch.keep(ordered(asked[0].unionByName(asked[1])))
+    texts = scratch.by_size(near.select(F.col("sid").alias("need")).distinct(), BROADCAST_ROWS)
+    sketches = scratch.keep(_sketches(rows.join(texts, F.col("sid") == F.col("need"), "left_semi"), shingle))
+    theirs = sketches.select(F.col("sid").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
+    close = _differ("sketch", "other_sketch") * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
+    tried = scratch.keep(tried.join(sketches, "sid").join(theirs, "other").filter(close).select("sid", "other"))
     found = _verified(scratch, tried, rows, percent, shingle)
 
     roots = connected(found.select(F.col("sid").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("sid"), "root")
     named = scratch.keep(near.select("word", *_PARTS).join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    mixed = named.groupBy("word").agg(F.mode("root").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("word", "main")
-    asking = named.join(mixed, "word").filter("root <> main").alias("a")
+    mixed = scratch.keep(named.groupBy("word").agg(F.mode("root").alias("main"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("word", "main"))
+    # Here pairs of different classes meet, most of which share no more than a passage; the sketch stops them within the join.
+    named = named.join(sketches.select("sid", "sketch"), "sid").join(mixed, "word")
+    asking = named.filter("root <> main").alias("a")
     mine, theirs = ({p: F.col(f"{s}.{p}") for p in _PARTS} for s in "ab")
-    met = asking.join(named.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.root") != F.col("b.root")) & _may_match(mine, theirs, percent))
+    close = _differ("a.sketch", "b.sketch") * (100 + percent) <= (mine["size"] + theirs["size"]) * (100 - percent)
+    met = asking.join(named.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.root") != F.col("b.root")) & _may_match(mine, theirs, percent) & close)
     rest = scratch.keep(ordered(met.select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other"))).join(tried, ["sid", "other"], "left_anti"))
     found = checkpointed(found.unionByName(_verified(scratch, rest, rows, percent, shingle)).select(F.col("sid").alias("a"), F.col("other").alias("b")))
     scratch.drop()
