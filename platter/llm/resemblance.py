@@ -6,7 +6,7 @@
    this one keeps frequent shingles out of the prefixes. A prefix is what any match must share one shingle of; it becomes postings.
 3. Postings of a shingle are first compared with the smallest set and with the one before, which is linear in a group of
    copies. The pairs that pass the length, position and bitmap filters are compared by sketches of 1,024 parities, which
-   cannot differ in more bits than the sets do in shingles, and those that pass this too are verified on the whole sets.
+   cannot differ in more bits than the sets do in shingles, then by wider ones, and those that pass are verified on the whole sets.
 4. What is linked so far makes classes. Of each shingle that more than one class has, the postings outside its main class
    meet all the others of other classes, so every pair that could join two classes is verified, and only those.
 
@@ -31,8 +31,8 @@ from platter.llm.components import connected
 SAMPLE, COMMON, MOST_COMMON = 10_000, 8, 200_000
 BROADCAST_ROWS = 1_000_000
 SEED = 42
-#: Bits of a sketch.
-SKETCH = 1 << 10
+#: Bits of a sketch, and of the one that pairs are compared by which this lets pass.
+SKETCH, WIDE_SKETCH = 1 << 10, 1 << 14
 
 _PARTS = ("sid", "size", "pos", "bits")
 
@@ -105,15 +105,15 @@ def _may_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Colu
     )
 
 
-def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """(sid, n, sketch) of rows (sid, text): the size of the set, and the parities of SKETCH classes of its shingles."""
+def _sketches(rows: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """(sid, n, sketch) of rows (sid, text): the size of the set, and the parities of so many classes of its shingles."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingles(t, shingle) for t in utf8(part.column("text"))]
-                made = [np.packbits(np.bincount((x >> 6) & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64) for x in sets]
+                made = [np.packbits(np.bincount((x >> 6) & (bits - 1), minlength=bits) & 1).view(np.int64) for x in sets]
                 yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array([len(x) for x in sets], pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["sid", "n", "sketch"])
 
     return rows.select("sid", "text").mapInArrow(found, "sid bigint, n bigint, sketch array<bigint>")
@@ -123,10 +123,23 @@ def _differ(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
 
 
+def _close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (sid, other) whose sketches differ in no more bits than the sets of a match in shingles."""
+    theirs = sketches.select(F.col("sid").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
+    close = _differ("sketch", "other_sketch") * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
+    return pairs.join(sketches, "sid").join(theirs, "other").filter(close).select("sid", "other")
+
+
 def _verified(scratch: Scratch, pairs: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (sid, other) that reach the threshold."""
-    need = scratch.by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct(), BROADCAST_ROWS)
-    sets = scratch.keep(_sets(rows.join(need, F.col("sid") == F.col("need"), "left_semi"), shingle))
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        need = scratch.by_size(pairs.select(F.explode(F.array("sid", "other")).alias("need")).distinct(), BROADCAST_ROWS)
+        return rows.join(need, F.col("sid") == F.col("need"), "left_semi")
+
+    # Long texts fill a small sketch; a wide one is still far smaller than their sets.
+    pairs = scratch.keep(_close(pairs, scratch.keep(_sketches(texts(pairs), shingle, WIDE_SKETCH)), percent))
+    sets = scratch.keep(_sets(texts(pairs), shingle))
     mine = sets.select("sid", F.col("items").alias("x"))
     theirs = sets.select(F.col("sid").alias("other"), F.col("items").alias("y"))
     alike = F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent
@@ -151,10 +164,8 @@ def links(docs: DataFrame, percent: int, shingle: int, text_col: str = "text") -
     ordered = lambda pairs: pairs.select(F.greatest("sid", "other").alias("sid"), F.least("sid", "other").alias("other")).distinct()
     tried = scratch.keep(ordered(asked[0].unionByName(asked[1])))
     texts = scratch.by_size(near.select(F.col("sid").alias("need")).distinct(), BROADCAST_ROWS)
-    sketches = scratch.keep(_sketches(rows.join(texts, F.col("sid") == F.col("need"), "left_semi"), shingle))
-    theirs = sketches.select(F.col("sid").alias("other"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch"))
-    close = _differ("sketch", "other_sketch") * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
-    tried = scratch.keep(tried.join(sketches, "sid").join(theirs, "other").filter(close).select("sid", "other"))
+    sketches = scratch.keep(_sketches(rows.join(texts, F.col("sid") == F.col("need"), "left_semi"), shingle, SKETCH))
+    tried = scratch.keep(_close(tried, sketches, percent))
     found = _verified(scratch, tried, rows, percent, shingle)
 
     roots = connected(found.select(F.col("sid").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("sid"), "root")
