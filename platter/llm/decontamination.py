@@ -6,6 +6,10 @@ benchmark, so one stored index serves many. A search sends the windows of the be
 every shard; there the position lists of a window's tokens are shifted by their offsets and intersected, the shortest
 (rarest) first, until no start is left. What is left are exact phrase matches.
 
+A search with a slop finds proximity matches as well: places of a document at which every token of a window stands at most
+slop words from where the window has it, so that words were put in, left out or moved. They never count as hits, and places
+within slop words of an exact match of the same window are none.
+
 Defined results: null or empty text has no words and is never contaminated; a row with null id is searched and returned
 with null id; repeated rows are returned once each; an item with null id or without words has no windows; repeated item
 ids count as one item; an empty benchmark or document table gives no hits or no rows; other columns are ignored.
@@ -36,7 +40,7 @@ BLOCK_WINDOWS = 200_000
 _TO_WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 INDEX_SCHEMA = "ids array<bigint>, keys array<bigint>, lengths binary, terms binary, counts binary, postings binary"
-MATCH_SCHEMA = "doc_id bigint, row_key bigint, n_words bigint, n_hit bigint, items array<string>, matches array<struct<item_id:string,kind:string,start:bigint,end:bigint>>"
+MATCH_SCHEMA = "doc_id bigint, row_key bigint, n_words bigint, n_hit bigint, items array<string>, near_items array<string>, matches array<struct<item_id:string,kind:string,start:bigint,end:bigint>>"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -132,74 +136,82 @@ class _Shard:
         return self.at[self.ends[term] - self.counts[term] : self.ends[term]]
 
 
-def _within(wanted: np.ndarray, have: np.ndarray, slop: int) -> np.ndarray:
-    """Which of wanted have an element of have at a distance of at most slop."""
-    i = np.searchsorted(have, wanted - slop)
-    return (i < len(have)) & (have[np.minimum(i, len(have) - 1)] <= wanted + slop)
+def _near(places: np.ndarray, have: np.ndarray, least: np.ndarray, most: np.ndarray, slop: int) -> np.ndarray:
+    """Which places have an element of have, from least and to most, at a distance of at most slop."""
+    i = np.searchsorted(have, np.maximum(places - slop, least))
+    return (i < len(have)) & (have[np.minimum(i, len(have) - 1)] <= np.minimum(places + slop, most))
 
 
-def _phrases(shard: _Shard, windows: np.ndarray, slop: int | None, near_terms: int) -> Iterator[tuple[int, str, np.ndarray]]:
-    """(window, kind, starts) of the windows that occur."""
+def _phrases(shard: _Shard, windows: np.ndarray, begins: np.ndarray, lengths: np.ndarray, slop: int | None) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """(window, kind, starts, documents) of the windows that occur; starts of proximity matches may lie outside of the document."""
     numbers = shard.find(windows)
-    present = np.flatnonzero((numbers >= 0).all(axis=1))
-    for w in present:
+    for w in np.flatnonzero((numbers >= 0).all(axis=1)):
         row = numbers[w]
         order = np.argsort(shard.counts[row], kind="stable")
-        first = order[0]
-        starts = rare = shard.positions(row[first]) - first
+        rare = shard.positions(row[order[0]])
+        starts = rare - order[0]
         for offset in order[1:]:
-            starts = starts[_within(starts + offset, shard.positions(row[offset]), 0)]
             if not len(starts):
                 break
+            starts = starts[np.isin(starts + offset, shard.positions(row[offset]), assume_unique=True)]
         if len(starts):
-            yield w, "exact", starts
-        if slop is not None:
-            near = rare
-            for offset in order[1:near_terms]:
-                near = near[_within(near + offset, shard.positions(row[offset]), slop)]
-                if not len(near):
-                    break
-            near = near[~np.isin(near, starts)]
-            if len(near):
-                yield w, "proximity", near
-
-
-def search(index: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None, near_terms: int = 4, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+            yield w, "exact", starts, np.searchsorted(begins, starts, "right") - 1
+        if slop is None:
+            continue
+        docs = np.repeat(np.searchsorted(begins, rare, "right") - 1, 2 * slop + 1)
+        near = (rare[:, None] - order[0] + np.arange(-slop, slop + 1)).ravel()
+        for offset in order[1:]:
+            if not len(near):
+                break
+            least = begins[docs]
+            held = _near(near + offset, shard.positions(row[offset]), least, least + lengths[docs] - 1, slop)
+            near, docs = near[held], docs[held]
+        if len(starts) and len(near):
+            least = begins[docs]
+            apart = ~_near(near, starts, least, least + lengths[docs] - 1, slop)
+            near, docs = near[apart], docs[apart]
+        if len(near):
+            found = np.unique(np.stack([docs, near]), axis=1)
+            yield w, "proximity", found[1], found[0]
+
+
+def search(index: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a document: its number of words, the words inside exact matches, the items matched exactly, and all matches.
 
-    slop: if given, proximity matches are returned too: the near_terms rarest tokens of a window, each at most slop words
-    from its place; they never count as hits. matches: item, kind, first word, word after the last.
+    slop: if given, proximity matches are returned too, and near_items are the items that have one in the document but no
+    exact match there. matches: item, kind, first word, word after the last.
     """
     sc = index.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, window)]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.list_(pa.struct([("item_id", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", kinds)])
+        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string())), ("matches", kinds)])
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = _unpack(row["lengths"], np.int32).astype(np.int64)
                 begins = np.cumsum(lengths + 1) - lengths - 1
                 shard = _Shard(row["terms"], row["counts"], row["postings"])
                 hit = np.zeros(int((lengths + 1).sum()), bool)
-                items: dict[int, set[str]] = {}
+                items: dict[str, dict[int, set[str]]] = {"exact": {}, "proximity": {}}
                 matches: dict[int, list] = {}
                 for block in blocks:
                     for n, (windows, owners) in block.value.items():
-                        for w, kind, starts in _phrases(shard, windows, slop, near_terms):
+                        for w, kind, starts, docs in _phrases(shard, windows, begins, lengths, slop):
                             if kind == "exact":
                                 hit[(starts[:, None] + np.arange(n)).ravel()] = True
-                            for start, doc in zip(starts.tolist(), (np.searchsorted(begins, np.maximum(starts, 0), "right") - 1).tolist(), strict=True):
-                                if kind == "exact":
-                                    items.setdefault(doc, set()).update(owners[w])
-                                first = max(0, start - int(begins[doc]))
-                                matches.setdefault(doc, []).extend({"item_id": x, "kind": kind, "start": first, "end": min(first + n, int(lengths[doc]))} for x in owners[w])
+                            for start, doc in zip(starts.tolist(), docs.tolist(), strict=True):
+                                items[kind].setdefault(doc, set()).update(owners[w])
+                                first = start - int(begins[doc])
+                                matches.setdefault(doc, []).extend({"item_id": x, "kind": kind, "start": max(0, first), "end": min(first + n, int(lengths[doc]))} for x in owners[w])
                     if len(blocks) > 1:
                         vars(block).pop("_value", None)  # the next block takes its place in this worker's memory
                 hits = np.add.reduceat(hit, begins) if len(begins) else np.empty(0, np.int64)
                 order = range(len(lengths))
+                exact = [items["exact"].get(i, set()) for i in order]
+                near = [items["proximity"].get(i, set()) - exact[i] for i in order]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(lengths), pa.array(hits.astype(np.int64)), pa.array([sorted(items.get(i, ())) for i in order], pa.list_(pa.string())), pa.array([matches.get(i, []) for i in order], kinds)],
+                    [pa.array(row["ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(lengths), pa.array(hits.astype(np.int64)), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in near], pa.list_(pa.string())), pa.array([matches.get(i, []) for i in order], kinds)],
                     schema=schema,
                 )
 

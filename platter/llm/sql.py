@@ -18,10 +18,20 @@ dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
 m AS (SELECT doc_id, n, i, item_id FROM dw JOIN bw USING (n, k)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id),
+q AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+f AS (SELECT word, count(*) AS c FROM q GROUP BY word),
+a AS (SELECT n, k, o, ts[o] AS word FROM (SELECT n, k, string_split(k, ' ') AS ts, unnest(range(1, n + 1)) AS o FROM (SELECT DISTINCT n, k FROM bw))),
+r AS (SELECT n, k, o, word FROM a JOIN f USING (word) QUALIFY row_number() OVER (PARTITION BY n, k ORDER BY c, o) = 1),
+c AS (SELECT DISTINCT doc_id, n, k, p - o + 1 + x AS place FROM q JOIN r USING (word), (SELECT unnest(range(-2, 3)) AS x)),
+v AS (SELECT doc_id, n, k FROM (SELECT c.*, w, string_split(k, ' ') AS ts FROM c JOIN d USING (doc_id))
+      WHERE len(list_filter(range(1, n + 1), lambda o: list_contains(w[greatest(1, place + o - 3):greatest(0, place + o + 1)], ts[o]))) = n),
+z AS (SELECT DISTINCT doc_id, item_id FROM v JOIN bw USING (n, k) EXCEPT SELECT doc_id, item_id FROM m),
+y AS (SELECT doc_id, count(*) AS n_near_items, string_agg(item_id, ',' ORDER BY item_id) AS near_items FROM z GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near_items, 0)::BIGINT AS n_near_items, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN y USING (doc_id)
 """
 
 
