@@ -136,7 +136,7 @@ class _Shard:
         return self.at[self.ends[term] - self.counts[term] : self.ends[term]]
 
 
-def _near(places: np.ndarray, have: np.ndarray, least: np.ndarray, most: np.ndarray, slop: int) -> np.ndarray:
+def _near(places: np.ndarray, have: np.ndarray, slop: int, least: np.ndarray | int = 0, most: np.ndarray | int = np.iinfo(np.int64).max) -> np.ndarray:
     """Which places have an element of have, from least and to most, at a distance of at most slop."""
     i = np.searchsorted(have, np.maximum(places - slop, least))
     return (i < len(have)) & (have[np.minimum(i, len(have) - 1)] <= np.minimum(places + slop, most))
@@ -149,26 +149,32 @@ def _phrases(shard: _Shard, windows: np.ndarray, begins: np.ndarray, lengths: np
         row = numbers[w]
         order = np.argsort(shard.counts[row], kind="stable")
         rare = shard.positions(row[order[0]])
+        # Of two tokens that are each at most slop words from their places, one is at most twice as far from the other's.
         starts = rare - order[0]
         for offset in order[1:]:
             if not len(starts):
                 break
-            starts = starts[np.isin(starts + offset, shard.positions(row[offset]), assume_unique=True)]
+            starts = starts[_near(starts + offset, shard.positions(row[offset]), 2 * (slop or 0))]
+        if not len(starts):
+            continue
+        around = starts
+        for offset in order[1:] if slop else ():
+            starts = starts[_near(starts + offset, shard.positions(row[offset]), 0)]
         if len(starts):
             yield w, "exact", starts, np.searchsorted(begins, starts, "right") - 1
         if slop is None:
             continue
-        docs = np.repeat(np.searchsorted(begins, rare, "right") - 1, 2 * slop + 1)
-        near = (rare[:, None] - order[0] + np.arange(-slop, slop + 1)).ravel()
-        for offset in order[1:]:
+        docs = np.repeat(np.searchsorted(begins, around + order[0], "right") - 1, 2 * slop + 1)
+        near = (around[:, None] + np.arange(-slop, slop + 1)).ravel()
+        for offset in order:
             if not len(near):
                 break
             least = begins[docs]
-            held = _near(near + offset, shard.positions(row[offset]), least, least + lengths[docs] - 1, slop)
+            held = _near(near + offset, shard.positions(row[offset]), slop, least, least + lengths[docs] - 1)
             near, docs = near[held], docs[held]
         if len(starts) and len(near):
             least = begins[docs]
-            apart = ~_near(near, starts, least, least + lengths[docs] - 1, slop)
+            apart = ~_near(near, starts, slop, least, least + lengths[docs] - 1)
             near, docs = near[apart], docs[apart]
         if len(near):
             found = np.unique(np.stack([docs, near]), axis=1)
